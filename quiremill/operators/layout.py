@@ -107,9 +107,9 @@ def find_gutter(lines: DataFrame, work: tuple[float, float]) -> DataFrame:
         *PAGE, *[F.col(c).cast("double").alias(c) for c in ("x0", "x1")], (F.col("y1") - F.col("y0")).cast("double").alias("h"))
     lo = F.greatest(F.floor(F.col("x0") + 1 - start) + 1, F.lit(0))
     hi = F.least(F.ceil(F.col("x1") - 1 - start) - 1, F.lit(last))
-    ends = F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("d")),
-                   F.struct(F.when(lo <= hi, lo).otherwise(0).cast("long"), F.when(lo <= hi, F.col("h")).otherwise(0.0)),
-                   F.struct(F.when(lo <= hi, hi + 1).otherwise(0).cast("long"), F.when(lo <= hi, -F.col("h")).otherwise(0.0)))
+    def end(k, height):
+        return F.struct(F.when(lo <= hi, k).otherwise(0).cast("long").alias("k"), F.when(lo <= hi, height).otherwise(F.lit(0.0)).alias("d"))
+    ends = F.array(end(F.lit(0), F.lit(0.0)), end(lo, F.col("h")), end(hi + 1, -F.col("h")))
     events = body.select(*PAGE, F.inline(ends))
     cost = F.sum("d").over(Window.partitionBy(*PAGE).orderBy("k"))  # range frame: all ends at k count
     best = (events.select(*PAGE, "k", cost.alias("cost")).filter(F.col("k") <= last)

@@ -127,10 +127,10 @@ def _(spark, d):
 
 
 @query("char_spacing", """SELECT doc_id, page, line, span, CASE WHEN abs(coalesce(m, 0)) < 0.15 THEN 0 WHEN abs(s) >= 0.1 THEN round(s, 2) ELSE 0 END AS spacing FROM (
-  SELECT *, CASE WHEN m > 0 THEN greatest(0, m * n / (n + 1) - 0.02::DOUBLE * 6) ELSE m * n / (n + 1) - 0.02::DOUBLE * 6 END AS s FROM (
-    SELECT doc_id, page, line, span, CASE WHEN count(*) > 2 THEN 0.25::DOUBLE * (span % 5 - 1) END AS m, count(*) - 2 AS n FROM f_chars GROUP BY doc_id, page, line, span))""")
+  SELECT *, CASE WHEN m > 0 THEN greatest(0, m * n / (n + 1) - 0.02::DOUBLE * 6.1::DOUBLE) ELSE m * n / (n + 1) - 0.02::DOUBLE * 6.1::DOUBLE END AS s FROM (
+    SELECT doc_id, page, line, span, CASE WHEN count(*) > 2 THEN 0.26::DOUBLE * (span % 5 - 1) - 0.1::DOUBLE END AS m, count(*) - 2 AS n FROM f_chars GROUP BY doc_id, page, line, span))""")
 def _(spark, d):
-    c = _ordered(spark, d).withColumn("origin_x", F.expr("x0 + 0.25D * char_no * (span % 5 - 1)"))
+    c = _ordered(spark, d).withColumn("origin_x", F.expr("x0 + 0.26D * char_no * (span % 5 - 1)")).withColumn("x1", F.expr("x0 + 6.1D"))
     return C.char_spacing(c)
 
 
@@ -153,7 +153,7 @@ def _(spark, d):
     words = V.items(spark, d).filter("str <> ''").withColumn("run_no", F.expr("item_no div 3"))
     runs = words.groupBy("doc_id", "page", "line_no", "run_no").agg(F.min("x").alias("x"), F.first("y").alias("y"), F.expr("listagg(str, ' ') within group (order by item_no)").alias("text"))
     lead = F.col("run_no") > 0
-    runs = runs.select("doc_id", "page", "run_no", "y", F.lit(10).alias("h"), F.when(lead, F.col("x") - 6).otherwise(F.col("x")).cast("double").alias("x"),
+    runs = runs.select("doc_id", "page", "run_no", "y", F.lit(6).alias("h"), F.when(lead, F.col("x") - 6).otherwise(F.col("x")).cast("double").alias("x"),
                        F.when(lead, F.concat(F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
     runs = runs.withColumn("char_x", F.expr("transform(sequence(0, length(text) - 1), k -> 6D * k)"))
     out = C.restore_spaces(glyphs, runs)

@@ -120,7 +120,7 @@ _HF = {"f_hf": """SELECT doc_id, page, line_no % 12 + 1 AS el_id, text, 72 AS x0
        "f_seen": "SELECT doc_id, zone, nt, b, count(*) AS seen FROM f_zone WHERE zone IS NOT NULL GROUP BY doc_id, zone, nt, b",
        "f_found": """SELECT z.* FROM f_zone z JOIN f_seen s ON z.doc_id = s.doc_id AND z.zone = s.zone AND z.nt = s.nt AND z.b = s.b JOIN (SELECT doc_id, max(page) + 1 AS n FROM f_lines GROUP BY doc_id) c ON c.doc_id = z.doc_id
           WHERE ((n >= 2 AND seen >= greatest(2, 0.4 * n)) OR (z.el_id = 99)) AND NOT EXISTS (SELECT 1 FROM f_hf o WHERE o.doc_id = z.doc_id AND o.page = z.page AND o.el_id <> z.el_id AND least(o.y1, z.y1) - greatest(o.y0, z.y0) > 0.5 * least(o.y1 - o.y0, z.y1 - z.y0))""",
-       "f_rest": "SELECT h.doc_id, h.page, min(y0) AS t, max(y1) AS b FROM f_hf h WHERE NOT EXISTS (SELECT 1 FROM f_found f WHERE f.doc_id = h.doc_id AND f.page = h.page AND f.el_id = h.el_id) GROUP BY h.doc_id, h.page"}
+       "f_rest": "SELECT h.doc_id, h.page, min(y0) AS body_top, max(y1) AS body_bottom FROM f_hf h WHERE NOT EXISTS (SELECT 1 FROM f_found f WHERE f.doc_id = h.doc_id AND f.page = h.page AND f.el_id = h.el_id) GROUP BY h.doc_id, h.page"}
 
 
 def _hf(spark, d):
@@ -141,7 +141,7 @@ def running_headers(spark, d):
 
 
 @query("running_headers", """SELECT f.doc_id, f.page, el_id, zone, text, CASE WHEN abs((x0 + x1) / 2.0 - 297.5) < 0.12 * 595 THEN 'center' WHEN (x0 + x1) / 2.0 > 297.5 THEN 'right' ELSE 'left' END AS align
-FROM f_found f JOIN f_rest r ON f.doc_id = r.doc_id AND f.page = r.page WHERE CASE WHEN zone = 'top' THEN y1 <= t ELSE y0 >= b END""", _HF)
+FROM f_found f JOIN f_rest r ON f.doc_id = r.doc_id AND f.page = r.page WHERE CASE WHEN zone = 'top' THEN y1 <= body_top ELSE y0 >= body_bottom END""", _HF)
 def _(spark, d):
     return running_headers(spark, d).select("doc_id", "page", "el_id", "zone", "text", "align")
 
