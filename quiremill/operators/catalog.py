@@ -354,29 +354,29 @@ def log_tail(logs: DataFrame, job: str = "job", seq: str = "seq", keep: int = 20
 # --- sizes ----------------------------------------------------------------------------------------
 
 def shrink_video_size(w: Column, h: Column) -> tuple[Column, Column]:
-    k = F.least(F.lit(1.0), F.lit(float(R.SHRINK_LONG)) / F.greatest(w, h), F.lit(float(R.SHRINK_SHORT)) / F.least(w, h))
+    k = F.least(F.lit(1.0), F.try_divide(F.lit(float(R.SHRINK_LONG)), F.greatest(w, h)), F.try_divide(F.lit(float(R.SHRINK_SHORT)), F.least(w, h)))
     return tuple(F.greatest(F.lit(2), js_round((x * k) / 2) * 2) for x in (w, h))
 
 
 def canvas_size(w: Column, h: Column, limit: float = R.MAX_PIXELS) -> tuple[Column, Column]:
-    k = F.least(F.lit(1.0), F.sqrt(F.lit(float(limit)) / (w * h)))
+    k = F.least(F.lit(1.0), F.sqrt(F.try_divide(F.lit(float(limit)), w * h)))
     return tuple(F.greatest(F.lit(1), js_round(x * k)) for x in (w, h))
 
 
 def photo_size(w: Column, h: Column) -> tuple[Column, Column]:
-    k = F.least(F.lit(1.0), F.lit(float(R.PHOTO_LONG)) / F.greatest(w, h))
+    k = F.least(F.lit(1.0), F.try_divide(F.lit(float(R.PHOTO_LONG)), F.greatest(w, h)))
     return tuple(F.greatest(F.lit(1), js_round(x * k)) for x in (w, h))
 
 
 def upscaled_video_size(w: Column, h: Column, scale: Column) -> tuple[Column, Column]:
-    k = F.least(scale.cast("double"), F.sqrt(F.lit(float(R.VIDEO_LONG * R.VIDEO_SHORT)) / (w * h)),
-                F.lit(float(R.VIDEO_LONG)) / F.greatest(w, h), F.lit(float(R.VIDEO_SHORT)) / F.least(w, h))
+    k = F.least(scale.cast("double"), F.sqrt(F.try_divide(F.lit(float(R.VIDEO_LONG * R.VIDEO_SHORT)), w * h)),
+                F.try_divide(F.lit(float(R.VIDEO_LONG)), F.greatest(w, h)), F.try_divide(F.lit(float(R.VIDEO_SHORT)), F.least(w, h)))
     sizes = [F.greatest(F.lit(1), js_round(x * k)) for x in (w, h)]
     return tuple(s - s % 2 for s in sizes)
 
 
 def upscaled_image_factor(w: Column, h: Column, scale: Column) -> Column:
-    return F.greatest(F.lit(1.0), F.least(scale.cast("double"), F.sqrt(F.lit(float(R.MAX_PIXELS)) / (w * h))))
+    return F.greatest(F.lit(1.0), F.least(scale.cast("double"), F.sqrt(F.try_divide(F.lit(float(R.MAX_PIXELS)), w * h))))
 
 
 def upscaled_image_size(w: Column, h: Column, scale: Column) -> tuple[Column, Column]:

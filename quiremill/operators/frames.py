@@ -113,7 +113,7 @@ def psnr(a: Column, b: Column, width: Column, height: Column, border: int) -> Co
         x, y = i % width, F.floor(i / width)
         return (x >= border) & (x < width - border) & (y >= border) & (y < height - border)
     sq = F.filter(F.transform(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), lambda v, i: F.when(inner(i), v)), lambda v: v.isNotNull())
-    mse = F.aggregate(sq, F.lit(0.0), lambda s, v: s + v) / F.size(sq)
+    mse = F.aggregate(sq, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(sq), F.lit(0))
     return F.when(mse == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(255.0 * 255.0) / mse))
 
 

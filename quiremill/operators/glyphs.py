@@ -137,9 +137,12 @@ def overprint_dedupe(chars: DataFrame, key: list[str], order: list[str]) -> Data
     blank = _blank("c")
     opens = ~(blank & F.coalesce(_blank(pc), F.lit(False)))
     marked = chars.select("*", F.coalesce(twice, F.lit(False)).alias("_twice"), opens.alias("_opens"), centre.alias("_centre"))
-    runs = islands(marked, key, ["_centre", *order], F.col("_opens"), "_run")
-    runs = runs.withColumn("overprinted", F.max("_twice").over(Window.partitionBy(*key)))
-    fields = [c for c in runs.columns if c not in [*key, "_run", "_twice", "_opens"]]
+    by = Window.partitionBy(*key).orderBy("_centre", *order)
+    marked = marked.select("*", F.max("_twice").over(Window.partitionBy(*key)).alias("overprinted"), F.lead("_opens").over(by).alias("_next"))
+    alone = F.col("_opens") & F.coalesce("_next", F.lit(True))
+    fields = [c for c in marked.columns if c not in [*key, "_twice", "_opens", "_next"]]
+    singles = marked.filter(alone).select(*key, F.lit(True).alias("keep"), *[f for f in fields if f != "_centre"])
+    runs = islands(marked.filter(~alone), key, ["_centre", *order], F.col("_opens"), "_run")
     arr = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct("_centre", *order, F.struct(*fields).alias("f")))).alias("_a"))
 
     def step(acc, s):
@@ -152,8 +155,9 @@ def overprint_dedupe(chars: DataFrame, key: list[str], order: list[str]) -> Data
 
     zero = F.expr("named_struct('x0', 0D, 'x1', 0D, 'out', cast(array() as array<boolean>))")
     folded = arr.withColumn("_k", F.when(F.size("_a") > 1, F.aggregate("_a", zero, step)["out"]).otherwise(F.array(F.lit(True))))
-    return folded.select(*key, F.inline(F.transform("_a", lambda s, i: F.struct(
+    blanks = folded.select(*key, F.inline(F.transform("_a", lambda s, i: F.struct(
         F.get(F.col("_k"), i).alias("keep"), *[s["f"][f].alias(f) for f in fields if f != "_centre"]))))
+    return singles.unionByName(blanks)
 
 
 def merge_row_pieces(chars: DataFrame) -> DataFrame:
@@ -198,39 +202,34 @@ def infer_word_spaces(chars: DataFrame, script: str = HANGUL) -> DataFrame:
     size = F.coalesce(F.nullif(F.greatest("size", nsize).cast("double"), F.lit(0.0)), F.lit(1.0))
     gap = F.when(~_blank("c") & ~_blank(nc) & letter, (nx0 - F.col("x1")) / size)
     able = (F.count("*").over(line) >= 3) & ~_real_space(line) & F.max(F.col("c").rlike(script)).over(line)
-    fields = [c for c in chars.columns if c not in LINE]
-    arr = (chars.select("*", F.when(able, gap).alias("_gap"))
-           .groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("ord", "_gap", F.struct(*fields).alias("f")))).alias("_a")))
-    arr = arr.withColumn("_v", F.array_sort(F.filter(F.transform("_a", lambda s: s["_gap"]), lambda v: v.isNotNull())))
+    marked = chars.select("*", F.when(able, gap).alias("_gap"))
+    # only the gaps of a line are gathered; its characters meet the resulting limit in a co-partitioned join
+    gaps = marked.filter("_gap is not null").groupBy(*LINE).agg(F.array_sort(F.collect_list("_gap")).alias("_v")).filter(F.size("_v") >= 2)
     lo, hi = F.get(F.col("_v"), F.lit(0)), F.element_at("_v", -1)
+    gaps = gaps.filter(hi - lo >= 0.15)
 
     def mean(a):
-        return F.aggregate(a, F.lit(0.0), lambda x, v: x + v) / F.size(a)
+        return F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), F.size(a))
 
     def step(acc, _):
         t = (acc["c1"] + acc["c2"]) / 2
         low, high = F.filter("_v", lambda v: v <= t), F.filter("_v", lambda v: v > t)
-        dead = acc["dead"] | (F.size(low) == 0) | (F.size(high) == 0)
-        same = acc["done"] | dead
-        c1, c2 = F.when(same, acc["c1"]).otherwise(mean(low)), F.when(same, acc["c2"]).otherwise(mean(high))
-        return F.struct(c1.alias("c1"), c2.alias("c2"), dead.alias("dead"), (same | ((c1 == acc["c1"]) & (c2 == acc["c2"]))).alias("done"))
-
-    usable = (F.size("_v") >= 2) & (hi - lo >= 0.15)
-    fit = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(lo.alias("c1"), hi.alias("c2"), F.lit(False).alias("dead"), F.lit(False).alias("done")), step)
-    arr = arr.withColumn("_k", F.when(F.when(F.size("_v") >= 2, usable).otherwise(F.lit(False)), fit))
-    k = F.col("_k")
-    limit = F.when(~k["dead"] & (k["c2"] - k["c1"] >= 0.15), F.greatest((k["c1"] + k["c2"]) / 2, k["c1"] + 0.1))
-    arr = arr.withColumn("_t", limit)
+        c1, c2 = mean(low), mean(high)  # null for an empty side, which ends the search
+        moved = F.struct(c1.alias("c1"), c2.alias("c2"), ((c1 == acc["c1"]) & (c2 == acc["c2"])).alias("done"))
+        return F.when(F.coalesce(acc["done"], F.lit(True)), acc).otherwise(moved)
 
-    def with_space(s):
-        f = s["f"]
-        width = s["_gap"] * F.coalesce(F.nullif(f["size"].cast("double"), F.lit(0.0)), F.lit(1.0))
-        parts = {"c": F.lit(" "), "x0": f["x1"], "x1": (f["x1"] + width).cast(chars.schema["x1"].dataType), "syn": F.lit(True)}
-        space = F.struct(*[parts.get(n, f[n]).alias(n) for n in fields])
-        return F.when(s["_gap"] > F.col("_t"), F.array(f, space)).otherwise(F.array(f))
-
-    rows = arr.select(*LINE, F.posexplode(F.flatten(F.transform("_a", with_space))).alias("_p", "f"))
-    return rows.select(*LINE, *[F.col(f"f.{n}").alias(n) if n != "ord" else F.col("_p").alias("ord") for n in fields])
+    fit = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(lo.alias("c1"), hi.alias("c2"), F.lit(False).alias("done")), step)
+    k = F.col("_k")
+    limits = (gaps.select(*LINE, fit.alias("_k")).filter(k["c2"] - k["c1"] >= 0.15)
+              .select(*LINE, F.greatest((k["c1"] + k["c2"]) / 2, k["c1"] + 0.1).alias("_t")))
+    wide = F.coalesce(F.col("_gap") > F.col("_t"), F.lit(False))
+    rows = (marked.join(limits, LINE, "left").select("*", F.explode(F.when(wide, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_new")))
+    new = F.col("_new") == 1
+    width = F.col("_gap") * F.coalesce(F.nullif(F.col("size").cast("double"), F.lit(0.0)), F.lit(1.0))
+    put = {"c": F.lit(" "), "x0": F.col("x1"), "x1": (F.col("x1") + width).cast(chars.schema["x1"].dataType), "syn": F.lit(True)}
+    cols = [F.when(new, put[c]).otherwise(F.col(c)).alias(c) if c in put else
+            (F.col("ord") * 2 + F.col("_new")).alias("ord") if c == "ord" else F.col(c) for c in chars.columns]
+    return rows.select(*cols)
 
 
 def drop_autospace(chars: DataFrame, wide: str = CJK, narrow: str = ALNUM) -> DataFrame:
@@ -391,7 +390,7 @@ def decode_entities(text: Column) -> Column:
 
     parts = F.split(text, _ENTITY)
     ents = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(decode(F.get(ents, i)), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(parts, ents, lambda p, e: F.concat(p, F.coalesce(decode(e), F.lit("")))), "")
     return F.when(text.rlike(_ENTITY), joined).otherwise(text)
 
 

@@ -49,7 +49,7 @@ def split_paragraphs(rows: DataFrame, block: list[str], short_ratio: float = 0.1
                  F.lag("size").over(w).alias("_ps"), F.lag("bold").over(w).alias("_pb"))
     ended = F.col("_pt").rlike(f"[{R.SENTENCE_ENDS}]\\z")
     short = F.col("_pw") / F.col("_W") <= 1.0 - short_ratio
-    jump = (F.col("size") > 0) & (F.col("_ps") > 0) & (F.greatest("size", "_ps") / F.least("size", "_ps") > 1.15)
+    jump = (F.col("size") > 0) & (F.col("_ps") > 0) & (F.try_divide(F.greatest("size", "_ps"), F.least("size", "_ps")) > 1.15)
     start = ((ended & short) | (ended & ((F.col("_W") - width) / F.col("_H") >= indent_ratio)) | is_list_start(F.col("_t"))
              | jump | ((F.col("_pb") != F.col("bold")) & short))
     start = (F.col("_k") > 1) & F.coalesce(start, F.lit(False))
@@ -126,7 +126,7 @@ def find_gutter(lines: DataFrame, work: tuple[float, float]) -> DataFrame:
         median(left).alias("lw"), median(right).alias("rw"), F.min(F.when(left, F.col("x0"))).alias("l0"), F.max(F.when(right, F.col("x1"))).alias("r1"))
     lcol, rcol = F.col("gx") - F.col("l0"), F.col("r1") - F.col("gx")
     good = ((F.col("n") >= 12) & (F.col("cost") <= 0.25 * F.col("total")) & (F.col("nl") >= 6) & (F.col("nr") >= 6)
-            & (F.col("lh") >= 0.2 * F.col("total")) & (F.col("rh") >= 0.2 * F.col("total")) & (lcol / rcol).between(0.5, 2)
+            & (F.col("lh") >= 0.2 * F.col("total")) & (F.col("rh") >= 0.2 * F.col("total")) & F.try_divide(lcol, rcol).between(0.5, 2)
             & (F.col("lw") >= 0.6 * lcol) & (F.col("rw") >= 0.6 * rcol))
     return s.select(*PAGE, F.when(F.coalesce(good, F.lit(False)), F.col("gx")).alias("gutter"))
 

@@ -96,7 +96,7 @@ def _(spark, d):
     return _pairs(spark, d).select("vec_id", F.round(v, 6).alias("psnr"))
 
 
-_QUAL = _PSNR | {"f_gray": "SELECT vec_id, list_transform(embedding, lambda v: 16 + (65.481::DOUBLE + 128.553::DOUBLE + 24.966::DOUBLE) * floor(128 + 127 * v)::INT / 255.0::DOUBLE) AS y FROM embeddings",
+_QUAL = _PSNR | {"f_gray": "SELECT vec_id, list_transform(embedding, lambda v: 16 + (65.481::DOUBLE + 128.553::DOUBLE + 24.966::DOUBLE) * floor(128 + 127 * v::DOUBLE)::INT / 255.0::DOUBLE) AS y FROM embeddings",
                  "f_down": """SELECT vec_id, list_transform(range(16), lambda i: (y[i // 4 * 16 + i % 4 * 2 + 1] + y[i // 4 * 16 + i % 4 * 2 + 2] + y[i // 4 * 16 + i % 4 * 2 + 9] + y[i // 4 * 16 + i % 4 * 2 + 10]) / 4) AS y FROM f_gray""",
                  "f_cons": "SELECT a.vec_id, avg((a.y[i] - b.y[i]) ** 2) AS mse FROM f_down a JOIN f_down b ON b.vec_id = a.vec_id + 1, (SELECT unnest([6, 7, 10, 11]) AS i) GROUP BY a.vec_id"}
 
@@ -104,7 +104,7 @@ _QUAL = _PSNR | {"f_gray": "SELECT vec_id, list_transform(embedding, lambda v: 1
 @query("quality_summary", """SELECT vec_id % 3 AS condition, label AS method, count(*) AS n, round(avg(10 * log10(65025.0::DOUBLE / m.mse)), 6) AS psnr, round(avg(10 * log10(65025.0::DOUBLE / c.mse)), 6) AS consistency
 FROM f_mse m JOIN f_cons c USING (vec_id) GROUP BY vec_id % 3, label""", _QUAL)
 def _(spark, d):
-    g = table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(floor(128 + 127 * v) as int))").alias("g"))
+    g = table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(floor(128 + 127 * cast(v as double)) as int))").alias("g"))
     j = _pairs(spark, d).join(g, "vec_id").join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("g").alias("g2")), "vec_id")
     down = [G.block_means(G.luma(F.col(c), 1), 8, 8, 2) for c in ("g", "g2")]
     s = j.select(F.expr("vec_id % 3").alias("condition"), F.col("label").alias("method"), G.psnr(G.luma(F.col("px"), 3), G.luma(F.col("px2"), 3), F.lit(7), F.lit(3), 1).alias("psnr"),

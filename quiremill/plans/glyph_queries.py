@@ -46,7 +46,7 @@ def _(spark, d):
 
 def _pieces(spark, d):
     return V.items(spark, d).selectExpr(
-        "doc_id", "page", "line_no * 100000 + item_no as piece_no", "x as x0", "x + width + if(item_no % 4 = 3, 0, 6) as x1",
+        "doc_id", "page", "line_no * 100000L + item_no as piece_no", "x as x0", "x + width + if(item_no % 4 = 3, 0, 6) as x1",
         "y + item_no % 3 as y0", "y + 10 + item_no % 3 as y1", "10.0D as size")
 
 
@@ -77,7 +77,7 @@ def _(spark, d):
 
 def _piece_chars(spark, d):
     return (V.chars(spark, d).filter("not (c = ' ' and char_no > 0 and span % 4 = 3)")
-            .withColumn("piece_no", F.expr("line * 100000 + span")).withColumn("ord", F.col("char_no"))
+            .withColumn("piece_no", F.expr("line * 100000L + span")).withColumn("ord", F.col("char_no"))
             .withColumn("horizontal", F.expr("(doc_id + line) % 7 <> 3")).drop("line"))
 
 

@@ -48,8 +48,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """Words with positions. Lines are spread by page before the words are split out, so the page-level
-    operators downstream reuse this one exchange."""
-    words = (lines(spark, d).select("doc_id", "page", "line_no", "y", "text").repartition("doc_id", "page")
+    operators downstream reuse this one exchange. Its width is given: rows multiply behind it, and adaptive
+    coalescing would judge it by its small input."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = (lines(spark, d).select("doc_id", "page", "line_no", "y", "text").repartition(width, "doc_id", "page")
              .select("doc_id", "page", "line_no", "y", F.posexplode(F.split("text", " ")).alias("item_no", "str")))
     w = (Window.partitionBy("doc_id", "page", "line_no").orderBy("item_no")
          .rowsBetween(Window.unboundedPreceding, -1))
@@ -61,7 +63,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 def raw_items(spark: SparkSession, d: str) -> DataFrame:
     """Words as a text extractor hands them over: a six-number transform, the size inside it."""
     return items(spark, d).select(
-        "doc_id", "page", F.expr("line_no * 100000 + item_no").alias("item_no"), "str",
+        "doc_id", "page", F.expr("line_no * 100000L + item_no").alias("item_no"), "str",
         F.expr("array(10, 0, 0, case when item_no % 7 = 3 then 0 else 10 end, x, y)").cast("array<double>")
         .alias("transform"), F.col("width").cast("double").alias("width"), F.lit(10.0).alias("height"))
 
@@ -148,14 +150,14 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
     return e.select(F.col("label").alias("stream"), F.row_number().over(w).cast("long").alias("frame_no"), "vec_id",
-                    F.expr("transform(slice(embedding, 1, 2), v -> cast(floor(8 * v) as int))").alias("px"))
+                    F.expr("transform(slice(embedding, 1, 2), v -> cast(floor(8 * cast(v as double)) as int))").alias("px"))
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as 21-pixel RGB images: each value moved to 0-255."""
     e = table(spark, d, "embeddings")
     return e.select("vec_id", "label", F.expr(
-        "transform(slice(embedding, 1, 63), v -> cast(floor(128 + 127 * v) as int))").alias("px"))
+        "transform(slice(embedding, 1, 63), v -> cast(floor(128 + 127 * cast(v as double)) as int))").alias("px"))
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:

@@ -98,7 +98,7 @@ def line_stage(line: Column) -> Column:
 
 def line_progress(line: Column, stage: Column) -> Column:
     done, total = (F.nullif(F.regexp_extract(line, _PAGE_LINE, i), F.lit("")).cast("double") for i in (1, 2))
-    part = (done - 1) / total
+    part = F.try_divide(done - 1, total)
     return F.when(stage == 3, part * 0.85).otherwise(F.lit(0.85) + part * 0.15)
 
 
