@@ -15,9 +15,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 BUCKET = 1 << 16
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the checkpoint folder. The helpers below read their input twice,
+    so chains of them start from a cut; it is meant for narrow summary rows (one per table, job, frame)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _with_bucket(df: DataFrame, position: str, width: float) -> DataFrame:
     return df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)).cast("long"))
 

@@ -188,7 +188,7 @@ def unique_names(df: DataFrame, batch: str = "batch", name: str = "name", pos: s
     # A name without an extension has no place for the number in front of it; it goes to the end.
     work = df.withColumn("_raw", F.when(has_ext, F.col(name)).otherwise(F.concat(name, F.lit("."))))
     level = F.size(F.regexp_extract_all(F.regexp_extract("_raw", r"((?: \(\d+\))*)\.[^.]*$", 1), F.lit(r"( \(\d+\))"), 1))
-    work = work.withColumn("_level", level).withColumn("_keeps", F.lit(True))
+    work = ordered.cut(work.withColumn("_level", level).withColumn("_keeps", F.lit(True)))
     # First occurrences decide reservations; one row per distinct name and batch.
     depth = work.agg(F.max("_level")).first()[0] or 0
     done = None

@@ -78,7 +78,7 @@ def same_frame(frames: DataFrame, stream: str = "stream", order: str = "frame_no
 
 def reuse_results(flagged: DataFrame, stream: str = "stream", order: str = "frame_no", width: float = 4096) -> DataFrame:
     """Number of the frame whose computed result each frame shows, and frames skipped so far."""
-    light = flagged.drop("px")
+    light = ordered.cut(flagged.drop("px"))
     return ordered.running(light, [stream], order, {
         "result_of": ("max", F.when(~F.col("same"), F.col(order))),
         "skipped": ("sum", F.col("same").cast("long"))}, width=width)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import CJK, HANGUL, WS, half_even, ordered_concat, trim_ws
 from ..functions.ordered import islands
 from ..rules import glyphs as R
+from ..session import ensure_checkpoint_dir
 
 LINE = ["doc_id", "page", "line"]
 PAGE = ["doc_id", "page"]
@@ -260,20 +261,28 @@ def drop_dot_spaces(chars: DataFrame, dots: str = R.MIDDLE_DOTS) -> DataFrame:
     return chars.withColumn("_d", F.coalesce(drop, F.lit(False))).filter(~F.col("_d")).drop("_d")
 
 
-def char_spacing(chars: DataFrame) -> DataFrame:
-    """Letter spacing of every span that has visible characters, in points (0 when negligible)."""
-    key = [*LINE, "span"]
-    w = Window.partitionBy(*key).orderBy("ord")
+def _with_spacing_parts(chars: DataFrame) -> DataFrame:
+    """Add the letter gap `_g` to the next visible character of the span and the visible width `_w`."""
+    w = Window.partitionBy(*LINE, "span").orderBy("ord")
     nxt, nox = F.lead("c").over(w), F.lead("origin_x").over(w)
     width = (F.col("x1") - F.col("x0")).cast("double")
     gap = nox - F.col("origin_x") - width
     gap = F.when(~_blank("c") & ~_blank(nxt) & (F.abs(gap) <= 0.5 * F.col("size")), gap)
-    g = chars.select(*key, gap.alias("_g"), F.when(~_blank("c"), width).alias("_w")).groupBy(*key).agg(
-        F.avg("_g").alias("mean"), F.count("_g").alias("n"), F.avg("_w").alias("width"))
-    raw = F.col("mean") * F.col("n") / (F.col("n") + 1) - 0.02 * F.col("width")
-    spacing = F.when(F.col("mean") > 0, F.greatest(F.lit(0.0), raw)).otherwise(raw)
-    out = F.when(F.coalesce(F.abs("mean"), F.lit(0.0)) < 0.15, F.lit(0.0)).when(F.abs(spacing) >= 0.1, half_even(spacing, 2)).otherwise(F.lit(0.0))
-    return g.select(*key, out.alias("spacing"))
+    return chars.select("*", gap.alias("_g"), F.when(~_blank("c"), width).alias("_w"))
+
+
+def _spacing() -> Column:
+    """Aggregate over a span: its letter spacing from the parts above."""
+    mean, n = F.avg("_g"), F.count("_g")
+    raw = mean * n / (n + 1) - 0.02 * F.avg("_w")
+    spacing = F.when(mean > 0, F.greatest(F.lit(0.0), raw)).otherwise(raw)
+    return (F.when(F.coalesce(F.abs(mean), F.lit(0.0)) < 0.15, F.lit(0.0)).when(F.abs(spacing) >= 0.1, half_even(spacing, 2))
+            .otherwise(F.lit(0.0)))
+
+
+def char_spacing(chars: DataFrame) -> DataFrame:
+    """Letter spacing of every span that has visible characters, in points (0 when negligible)."""
+    return _with_spacing_parts(chars).groupBy(*LINE, "span").agg(_spacing().alias("spacing"))
 
 
 def drop_margin_stamps(lines: DataFrame) -> DataFrame:
@@ -286,23 +295,28 @@ def drop_margin_stamps(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_d", F.coalesce(drop, F.lit(False))).filter(~F.col("_d")).drop("_d")
 
 
-def tidy_text(chars: DataFrame, script: str = HANGUL, wide: str = CJK, dots: str = R.MIDDLE_DOTS) -> DataFrame:
-    """The whole cleanup in order, ending in merged runs. Needs char_flags, mark, piece_no, horizontal, origin_x."""
+def tidy_text(chars: DataFrame, script: str = HANGUL, wide: str = CJK, dots: str = R.MIDDLE_DOTS, cut: bool = True) -> DataFrame:
+    """The whole cleanup in order, ending in merged runs. Needs char_flags, mark, piece_no, horizontal, origin_x.
+
+    The merged lines are read by several later steps. `cut` checkpoints them once (in the session's
+    checkpoint folder) instead of deriving them again for each.
+    """
     prepared = (chars.withColumn("c", normalize_bullets(F.col("c")))
                 .withColumn("syn", synthetic_flag(F.col("char_flags"), F.col("mark"))).drop("char_flags", "mark"))
     c = merge_row_pieces(prepared)
+    if cut:
+        ensure_checkpoint_dir(c.sparkSession)
+        c = c.checkpoint()
     c = drop_dot_spaces(infer_word_spaces(drop_autospace(c, wide), script), dots)
     # a span is a stretch of one source span; merging may interleave pieces, so stretches are renumbered
     w = Window.partitionBy(*LINE).orderBy("ord")
     turn = (F.lag("span").over(w) != F.col("span")) | (F.lag("piece_no").over(w) != F.col("piece_no"))
     c = islands(c.withColumn("_turn", F.coalesce(turn, F.lit(False))), LINE, ["ord"], F.col("_turn"), "_stretch")
-    c = c.drop("span", "_turn").withColumnRenamed("_stretch", "span")
-    spacing = char_spacing(c)
+    c = _with_spacing_parts(c.drop("span", "_turn").withColumnRenamed("_stretch", "span"))
     spans = c.groupBy(*LINE, "span").agg(
         ordered_concat("c", "ord").alias("text"), *[F.min_by(f, "ord").alias(f) for f in ("font", "size", "flags", "color")],
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    spans = spans.join(spacing, [*LINE, "span"], "left").withColumn("alpha", F.lit(255)).withColumn("spacing", F.coalesce("spacing", F.lit(0.0)))
-    return merge_runs(spans)
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), _spacing().alias("spacing"))
+    return merge_runs(spans.withColumn("alpha", F.lit(255)))
 
 
 def restore_spaces(glyphs: DataFrame, runs: DataFrame) -> DataFrame:

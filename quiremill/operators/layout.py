@@ -209,19 +209,25 @@ def running_headers(lines: DataFrame, n_pages: DataFrame) -> DataFrame:
     often = (edge.groupBy(*key).agg(F.count("*").alias("_seen")).filter("_seen >= 2").join(n_pages, "doc_id")
              .filter((F.col("n_pages") >= 2) & (F.col("_seen") >= need)).select(*key, F.lit(True).alias("_rep")))
     numbered = F.col("_t").rlike(_PAGE_NUM) & (F.length("_t") <= 16)
-    cand = (edge.join(often, key, "left").filter(F.coalesce("_rep", F.lit(False)) | numbered)
-            .select(*PAGE, "el_id", "zone", "x0", "x1", "y0", "y1", "_t", "page_w"))
-    # one page at a time from here: rows shared with other lines, and the extent of what is left as body
-    others = ln.select(*PAGE, F.col("el_id").alias("_o"), F.col("y0").alias("_oy0"), F.col("y1").alias("_oy1"))
-    shared = (F.col("_o") != F.col("el_id")) & same_row(F.col("_oy0"), F.col("_oy1"), F.col("y0"), F.col("y1"))
-    alone = cand.join(others, (cand.doc_id == others.doc_id) & (cand.page == others.page) & shared, "left_anti")
-    marks = alone.select(*PAGE, "el_id", F.lit(True).alias("_found"))
-    body = (ln.join(marks, [*PAGE, "el_id"], "left").groupBy(*PAGE).agg(
-        F.count("*").alias("_n"), F.min(F.when(F.col("_found").isNull(), F.col("y0"))).alias("_top"),
-        F.max(F.when(F.col("_found").isNull(), F.col("y1"))).alias("_bottom")).filter("_n >= 2 and _top is not null"))
-    ok = F.when(F.col("zone") == "top", F.col("y1") <= F.col("_top")).otherwise(F.col("y0") >= F.col("_bottom"))
-    return (alone.join(body, PAGE).filter(ok).select(
-        *PAGE, "el_id", "zone", F.col("_t").alias("text"), "x0", "x1", "y0", "y1", line_align(F.col("x0"), F.col("x1"), F.col("page_w")).alias("align")))
+    # Margin lines learn whether they repeat; then each page is judged on its own from one gathered array
+    # (a sheet holds few lines, and text travels only with candidates).
+    flagged = (edge.join(often, key, "left").withColumn("_cand", F.coalesce("_rep", F.lit(False)) | numbered)
+               .select(*PAGE, "el_id", "zone", "x0", "x1", "y0", "y1", "page_w", "_cand", F.when(F.col("_cand"), F.col("_t")).alias("text")))
+    rest = ln.filter(zone.isNull()).select(*PAGE, "el_id", F.lit(None).cast("string").alias("zone"), "x0", "x1", "y0", "y1", "page_w",
+                                           F.lit(False).alias("_cand"), F.lit(None).cast("string").alias("text"))
+    fields = ["el_id", "zone", "x0", "x1", "y0", "y1", "page_w", "_cand", "text"]
+    pages = flagged.unionByName(rest).groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("_l"))
+    pages = pages.filter((F.size("_l") >= 2) & F.exists("_l", lambda s: s["_cand"]))
+
+    def alone(s):
+        return ~F.exists("_l", lambda o: (o["el_id"] != s["el_id"]) & same_row(o["y0"], o["y1"], s["y0"], s["y1"]))
+    pages = pages.withColumn("_found", F.filter("_l", lambda s: s["_cand"] & alone(s)))
+    body = F.filter("_l", lambda s: ~F.exists("_found", lambda f: f["el_id"] == s["el_id"]))
+    pages = pages.withColumn("_b", body).filter(F.size("_b") > 0)
+    pages = pages.withColumn("_top", F.array_min(F.transform("_b", lambda s: s["y0"]))).withColumn("_bottom", F.array_max(F.transform("_b", lambda s: s["y1"])))
+    kept = F.filter("_found", lambda s: F.when(s["zone"] == "top", s["y1"] <= F.col("_top")).otherwise(s["y0"] >= F.col("_bottom")))
+    out = pages.select(*PAGE, F.inline(kept))
+    return out.select(*PAGE, "el_id", "zone", "text", "x0", "x1", "y0", "y1", line_align(F.col("x0"), F.col("x1"), F.col("page_w")).alias("align"))
 
 
 def page_margins(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A local session for tests and benches. On a cluster the given session's own settings are used."""
+"""Sessions: a local one for tests and benches, and the checkpoint folder of a given one."""
 
 from __future__ import annotations
 
@@ -8,6 +8,20 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names in spark.checkpoint.dir; a temporary one only on local masters."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        sc.setCheckpointDir(named)
+    elif sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quiremill-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
 def local_session(app: str = "quiremill", cores: str | int = 8, partitions: int = 8) -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.sql.shuffle.partitions", str(partitions))
@@ -18,6 +32,4 @@ def local_session(app: str = "quiremill", cores: str | int = 8, partitions: int
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quiremill-"))
     return spark

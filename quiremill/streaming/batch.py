@@ -5,7 +5,7 @@ A job, path or stream may hold a third of all events, so running values use the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
@@ -35,6 +35,7 @@ def throttled_bytes(chunks: DataFrame, window_ms: int = 250, width: float | None
     step = window_ms * 1000
     per = (chunks.select("path", F.floor(micros("ts") / step).alias("win"), "loaded")
            .groupBy("path", "win").agg(F.sum("loaded").alias("_b")))
+    per = ordered.cut(per)
     run = ordered.running(per, ["path"], "win", {"loaded": ("sum", F.col("_b"))}, width=width or ordered.BUCKET)
     last = per.groupBy("path").agg(F.max("win").alias("_last"))
     return run.join(last, "path").select("path", "win", "loaded", (F.col("win") == F.col("_last")).alias("final"))
@@ -54,20 +55,20 @@ def stall_detect(beats: DataFrame, scale: float = 1.0, width: float = DAY) -> Da
     return nxt.withColumn("silent_sec", silent).filter(F.col("silent_sec") > limit).select("job", "seq", "ts", "silent_sec")
 
 
-def retry_state(events: DataFrame, retries: int = 3, width: float = ordered.BUCKET) -> DataFrame:
+def retry_state(events: DataFrame, retries: int = 3) -> DataFrame:
     """Attempts and outcome of each job from `kind` (stall / error / done / beat): a stall starts another attempt
-    until the last one, an error or success ends the job."""
-    stalls = ordered.row_number(events.filter("kind = 'stall'").select("job", "seq"), ["job"], "seq", "_n", width=width)
-    third = stalls.filter(F.col("_n") == retries).select("job", F.col("seq").alias("_third"))
-    ends = events.filter("kind in ('error', 'done')").groupBy("job").agg(F.min(F.struct("seq", "kind")).alias("_end"))
-    jobs = (events.groupBy("job").agg(F.count("*").alias("_c")).join(third, "job", "left").join(ends, "job", "left"))
-    gave_up = F.col("_third").isNotNull() & (F.col("_end").isNull() | (F.col("_third") < F.col("_end.seq")))
-    stop = F.when(gave_up, F.col("_third")).otherwise(F.col("_end.seq"))
-    jobs = jobs.select("job", stop.alias("_stop"), F.when(gave_up, "failed").when(F.col("_end.kind") == "error", "failed")
-                       .when(F.col("_end.kind") == "done", "done").otherwise("running").alias("status"))
-    used = (stalls.join(jobs.select("job", "_stop"), "job").filter(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
-            .groupBy("job").agg(F.count("*").alias("_s")))
-    return jobs.join(used, "job", "left").select("job", (F.coalesce("_s", F.lit(0)) + 1).alias("attempts"), "status")
+    until the last one, an error or success ends the job. Only the first `retries` stalls of a job matter; the
+    group limit keeps them before the shuffle."""
+    w = Window.partitionBy("job").orderBy("seq")
+    first = (events.filter("kind = 'stall'").select("job", "seq").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= retries)
+             .groupBy("job").agg(F.array_sort(F.collect_list("seq")).alias("_stalls")))
+    ends = events.groupBy("job").agg(F.min(F.when(F.col("kind").isin("error", "done"), F.struct("seq", "kind"))).alias("_end"))
+    j = ends.join(first, "job", "left").withColumn("_last", F.get("_stalls", F.lit(retries - 1)))
+    gave_up = F.col("_last").isNotNull() & (F.col("_end").isNull() | (F.col("_last") < F.col("_end.seq")))
+    j = j.withColumn("_stop", F.when(gave_up, F.col("_last")).otherwise(F.col("_end.seq")))
+    before = F.size(F.filter(F.coalesce("_stalls", F.expr("cast(array() as array<bigint>)")), lambda s: F.col("_stop").isNull() | (s < F.col("_stop"))))
+    status = F.when(gave_up | (F.col("_end.kind") == "error"), "failed").when(F.col("_end.kind") == "done", "done").otherwise("running")
+    return j.select("job", (before + 1).alias("attempts"), status.alias("status"))
 
 
 def job_status(events: DataFrame) -> DataFrame:
