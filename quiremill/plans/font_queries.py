@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import fonts as P
 from ..rules import fonts as R
 from ..sources import views as V
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .catalog_queries import _values
 from .registry import query
 from .sqlviews import sql_list
@@ -71,7 +71,7 @@ def _(spark, d):
 @query("binary_runs", r"""SELECT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\x20-\x7e]{3,60}')) AS run FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', chr(1), 'g') AS t FROM documents))
 UNION ALL SELECT doc_id, source FROM documents""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id").select("doc_id", F.concat(
         F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", "\u0001"), "UTF-8"), F.lit(b"\x01\x01\x01\x01"), F.encode("source", "UTF-16LE"), F.lit(b"\x01\x01")).alias("content"))
     return P.binary_runs(docs, "doc_id", "content")
 
@@ -110,7 +110,7 @@ _FALL = {"r_cov": "SELECT * FROM (" + _values(COVERAGE) + ") t(font, a, b)",
 @query("glyph_fallback", """SELECT doc_id, cls, c, n, coalesce(CASE WHEN unicode(c) >= 128 THEN (SELECT min_by(r.font, r.i) FROM r_chain r JOIN r_cov v ON r.font = v.font WHERE r.cls = f.cls AND unicode(f.c) BETWEEN v.a AND v.b) END,
   (SELECT font FROM r_chain r WHERE r.cls = f.cls AND r.i = 0)) AS font FROM f_dchars f""", _FALL)
 def _(spark, d):
-    ch = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n"))
+    ch = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.split("text", "")).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n"))
     ch = ch.withColumn("cls", F.element_at(F.array(*[F.lit(x) for x in R.CHAINS]), F.expr("cast(doc_id % 5 as int) + 1")))
     return P.glyph_fallback(ch, coverage(spark)).select("doc_id", "cls", "c", "n", "font")
 

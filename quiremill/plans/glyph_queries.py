@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import glyphs as C
 from ..sources import views as V
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
@@ -185,7 +185,7 @@ _DIRTY = "html || '&#' || (8364 + page_id % 50) || ';&#x1F600; &AMP;lt; &nbsp;x'
   '\p{{Zs}}', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def _(spark, d):
     tail = F.expr("concat('&#', 8364 + page_id % 50, ';&#x1F600; &AMP;lt; &nbsp;x\\u2003y  \\r\\n\\r\\n\\n\\nend \\n')")
-    return table(spark, d, "pages").select("page_id", C.normalize_text(F.concat("html", tail)).alias("text"))
+    return spread(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", C.normalize_text(F.concat("html", tail)).alias("text"))
 
 
 @query("tidy_text")

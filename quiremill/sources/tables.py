@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key when the scan has fewer splits than the cluster has cores, for work that is heavy per
+    row. A table of many files is left as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
+
+
 def scan_files(spark: SparkSession, path: str, glob: str = "*", with_content: bool = False) -> DataFrame:
     """Files as rows. Without `with_content` the bytes are pruned from the scan and never read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
