@@ -14,8 +14,11 @@ MICROS = 1_000_000
 DAY = 86_400 * MICROS
 
 
-def micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, with or without a time zone."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts))
+    return F.unix_micros(ts)
 
 
 def progress_latest(reports: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def overall_progress(latest: DataFrame, keys: list[str]) -> DataFrame:
 def throttled_bytes(chunks: DataFrame, window_ms: int = 250, width: float | None = None) -> DataFrame:
     """Running bytes per path, reported once per window, the last report marked final."""
     step = window_ms * 1000
-    per = (chunks.select("path", F.floor(micros("ts") / step).alias("win"), "loaded")
+    per = (chunks.select("path", F.floor(micros(chunks, "ts") / step).alias("win"), "loaded")
            .groupBy("path", "win").agg(F.sum("loaded").alias("_b")))
     per = ordered.cut(per)
     run = ordered.running(per, ["path"], "win", {"loaded": ("sum", F.col("_b"))}, width=width or ordered.BUCKET)
@@ -48,7 +51,7 @@ def stall_limit(phase: Column, percent: Column, size_mb: Column) -> Column:
 
 def stall_detect(beats: DataFrame, scale: float = 1.0, width: float = DAY) -> DataFrame:
     """Heartbeats followed by silence beyond their limit. Needs job, seq, ts, phase, percent, size_mb."""
-    b = beats.withColumn("_us", micros("ts"))
+    b = beats.withColumn("_us", micros(beats, "ts"))
     nxt = ordered.neighbour(b, ["job"], "_us", "_next", F.col("_us"), ties=["seq"], width=width, ahead=True)
     limit = stall_limit(F.col("phase"), F.col("percent"), F.col("size_mb")) * scale
     silent = (F.col("_next") - F.col("_us")) / MICROS

@@ -21,6 +21,11 @@ ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """Event time as watermarks need it (zoned)."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def progress_latest(reports: DataFrame) -> DataFrame:
     """Latest report per path (update mode); feed `batch.overall_progress` from foreachBatch."""
     return batch.progress_latest(reports)
@@ -32,14 +37,14 @@ def job_status(events: DataFrame) -> DataFrame:
 
 def throttled_bytes(chunks: DataFrame, window: str = "250 milliseconds", late: str = "10 seconds") -> DataFrame:
     """Bytes per path and window, each window reported once, when the watermark has passed it (append mode)."""
-    return (chunks.withWatermark("ts", late).groupBy("path", F.window("ts", window).alias("w"))
+    return (_timed(chunks).withWatermark("ts", late).groupBy("path", F.window("ts", window).alias("w"))
             .agg(F.sum("loaded").alias("bytes")).select("path", F.col("w.start").alias("start"), "bytes"))
 
 
 def match_replies(requests: DataFrame, replies: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Requests with their replies; a request without a reply in time comes out once, with nulls (left outer)."""
-    req = requests.select(F.col("id").alias("req_id"), F.col("ts").alias("asked")).withWatermark("asked", late)
-    rep = replies.select("id", F.col("ts").alias("answered"), "kind", "value", "code").withWatermark("answered", late)
+    req = _timed(requests).select(F.col("id").alias("req_id"), F.col("ts").alias("asked")).withWatermark("asked", late)
+    rep = _timed(replies).select("id", F.col("ts").alias("answered"), "kind", "value", "code").withWatermark("answered", late)
     cond = F.expr(f"req_id = id and answered >= asked and answered <= asked + interval {within}")
     return req.join(rep, cond, "leftOuter").select("req_id", "asked", "answered", "kind", "value", "code")
 
@@ -85,7 +90,7 @@ def stall_detect(beats: DataFrame, scale: float = 1.0, late: str = "10 seconds")
     """Alerts (job, seq of the last heartbeat, seconds of silence) as event time passes the limit."""
     limit = batch.stall_limit(F.col("phase"), F.col("percent"), F.col("size_mb")) * scale
     at = F.unix_millis("ts")
-    b = beats.withWatermark("ts", late).select("job", "seq", "ts", at.alias("at_ms"), (at + F.floor(limit * 1000)).alias("due_ms"))
+    b = _timed(beats).withWatermark("ts", late).select("job", "seq", "ts", at.alias("at_ms"), (at + F.floor(limit * 1000)).alias("due_ms"))
     return b.groupBy("job").transformWithStateInPandas(
         statefulProcessor=_Stall(), outputStructType="job long, seq long, silent_sec double", outputMode="Append", timeMode="EventTime")
 
