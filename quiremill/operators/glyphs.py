@@ -175,15 +175,13 @@ def merge_row_pieces(chars: DataFrame) -> DataFrame:
     w = Window.partitionBy(*gkey)
     place = grouped.select(*PAGE, "piece_no", F.min("piece_no").over(w).alias("_first"), F.count("*").over(w).alias("_n"))
     joined = chars.join(place, [*PAGE, "piece_no"], "left").withColumn("_group", F.coalesce("_first", "piece_no"))
-    single = F.coalesce(F.col("_n"), F.lit(1)) == 1
-    multi = overprint_dedupe(joined.filter(~single), [*PAGE, "_group"], ["piece_no", "ord"])
-    multi = multi.filter(F.col("overprinted") | F.col("keep"))
-    line = F.when(F.col("overprinted"), F.col("piece_no")).otherwise(F.col("_group"))
-    spot = F.when(F.col("overprinted"), F.lit(None)).otherwise((F.col("x0") + F.col("x1")) / 2)
-    both = (multi.withColumn("line", line).withColumn("_spot", spot.cast("double")).drop("overprinted", "keep")
-            .unionByName(joined.filter(single).withColumn("line", F.col("piece_no")).withColumn("_spot", F.lit(None).cast("double"))))
+    checked = overprint_dedupe(joined, [*PAGE, "_group"], ["piece_no", "ord"])
+    apart = F.col("overprinted") | (F.coalesce(F.col("_n"), F.lit(1)) == 1)  # stays as drawn
+    line = F.when(apart, F.col("piece_no")).otherwise(F.col("_group"))
+    spot = F.when(~apart, ((F.col("x0") + F.col("x1")) / 2).cast("double"))
+    merged = checked.filter(apart | F.col("keep")).withColumn("line", line).withColumn("_spot", spot).drop("overprinted", "keep")
     order = Window.partitionBy(*LINE).orderBy("_spot", "piece_no", "ord")
-    return both.withColumn("ord", F.row_number().over(order)).drop("_spot", "_group", "_first", "_n")
+    return merged.withColumn("ord", F.row_number().over(order)).drop("_spot", "_group", "_first", "_n")
 
 
 def _real_space(w) -> Column:
@@ -338,8 +336,7 @@ def restore_spaces(glyphs: DataFrame, runs: DataFrame) -> DataFrame:
                          (F.col("x") + F.get("char_x", F.greatest(F.col("s.at"), F.lit(0)))).alias("sx"))
     reach = F.when(F.col("lead"), F.col("sx") - 2 * F.coalesce(F.nullif(F.col("h").cast("double"), F.lit(0.0)), F.lit(10.0))).otherwise(F.col("sx") - 1)
     until = F.when(F.col("lead"), F.col("sx")).otherwise(F.col("sx") + 1)
-    spots = spots.select("*", F.monotonically_increasing_id().alias("_id"),
-                         F.explode(F.sequence(F.floor(reach / cell), F.floor(until / cell))).alias("_cell"))
+    spots = spots.select("*", F.explode(F.sequence(F.floor(reach / cell), F.floor(until / cell))).alias("_cell"))
     g = glyphs.select(*PAGE, F.col("glyph_no").alias("_g"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.floor(F.col("x") / cell).alias("_cell"))
     pairs = spots.join(g, [*PAGE, "_cell"]).filter(
         (F.col("gy") >= F.col("y") - 1) & (F.col("gy") <= F.col("y") + F.col("h") * 1.6 + 1)

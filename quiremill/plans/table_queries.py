@@ -147,9 +147,11 @@ def _(spark, d):
     return T.sheet_markup(stitched(spark, d)).select("doc_id", "sheet_no", "sheet_name", "xml")
 
 
-@query("workbook_export")
+@query("workbook_export", "SELECT doc_id, 5 + count(DISTINCT sheet_no) AS n_parts FROM f_stitched GROUP BY doc_id", _STITCH)
 def _(spark, d):
-    return T.workbook_export(T.sheet_markup(stitched(spark, d))).select("doc_id", F.length("workbook").alias("n_bytes"))
+    # the archive's closing record tells how many parts it holds
+    n = F.conv(F.hex(F.concat(*[F.expr(f"substring(workbook, length(workbook) - {k}, 1)") for k in (10, 11)])), 16, 10)
+    return T.workbook_export(T.sheet_markup(stitched(spark, d))).select("doc_id", n.cast("long").alias("n_parts"))
 
 
 @query("csv_export", """SELECT doc_id, sheet_no::BIGINT AS sheet_no, row_no, CASE WHEN sheet_no = 1 AND row_no = 1 THEN chr(65279) ELSE '' END ||

@@ -50,6 +50,13 @@ def _(spark, d):
     return B.paragraphs(B.lines(B.text_items(raw(spark, d)))).select("doc_id", "page", "para_no", "n_lines", "text")
 
 
+@query("page_text", """SELECT doc_id, page, coalesce(t, '') AS text FROM (SELECT DISTINCT doc_id, page FROM f_lines)
+LEFT JOIN (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY para_no) AS t FROM f_para GROUP BY doc_id, page) USING (doc_id, page)""", _LINES)
+def _(spark, d):
+    pages = V.lines(spark, d).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+    return B.page_text(B.paragraphs(B.lines(B.text_items(raw(spark, d)))), pages)
+
+
 @query("document_text", """SELECT doc_id, string_agg(coalesce(t, ''), chr(10) || chr(10) ORDER BY page) AS text
 FROM (SELECT DISTINCT doc_id, page FROM f_lines) LEFT JOIN (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY para_no) AS t FROM f_para GROUP BY doc_id, page) USING (doc_id, page)
 GROUP BY doc_id""", _LINES)

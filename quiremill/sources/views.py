@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from .tables import table
 
 EXTS = ("mp4 wav jpg png docx hwp pptx xlsx pdf csv gif xyz mov ogg jpeg svg doc hwpx ppt ods pdf tif ico".split() + [""])
@@ -147,9 +148,8 @@ def cellboxes(spark: SparkSession, d: str) -> DataFrame:
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as tiny frames; px holds the leading values in eighths."""
-    e = table(spark, d, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.select(F.col("label").alias("stream"), F.row_number().over(w).cast("long").alias("frame_no"), "vec_id",
+    e = ordered.row_number(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", "frame_no")
+    return e.select(F.col("label").alias("stream"), "frame_no", "vec_id",
                     F.expr("transform(slice(embedding, 1, 2), v -> cast(floor(8 * cast(v as double)) as int))").alias("px"))
 
 
