@@ -69,7 +69,7 @@ def group_rows(pieces: DataFrame, block: list[str] | None = None) -> DataFrame:
     """Pieces on one height: join the row when they overlap its growing box by more than half the smaller height.
 
     A piece that starts below everything before it always opens a row, so only vertically chained
-    pieces are folded together.
+    pieces are taken together, and a chain whose pieces all share enough height is one row without a fold.
     """
     block = block or PAGE
     w = Window.partitionBy(*block).orderBy(F.col("y0") + F.col("y1"), "piece_no")
@@ -79,7 +79,8 @@ def group_rows(pieces: DataFrame, block: list[str] | None = None) -> DataFrame:
     fields = [c for c in pieces.columns if c not in block]
     arr = chained.groupBy(*block, "_chain").agg(F.array_sort(F.collect_list(F.struct(
         (F.col("y0") + F.col("y1")).alias("_c"), F.col("piece_no").alias("_o"), F.col("y0").cast("double").alias("_y0"),
-        F.col("y1").cast("double").alias("_y1"), F.struct(*fields).alias("f")))).alias("_a"))
+        F.col("y1").cast("double").alias("_y1"), F.struct(*fields).alias("f")))).alias("_a"),
+        ((F.min(F.col("y1") - F.col("y0")) > 0) & (F.min("y1") - F.max("y0") > 0.5 * F.max(F.col("y1") - F.col("y0")))).alias("_one"))
 
     def step(acc, p):
         h = F.least(acc["y1"] - acc["y0"], p["_y1"] - p["_y0"])
@@ -90,7 +91,7 @@ def group_rows(pieces: DataFrame, block: list[str] | None = None) -> DataFrame:
                         n.alias("n"), F.array_append(acc["out"], n).alias("out"))
 
     zero = F.expr("named_struct('y0', 0D, 'y1', 0D, 'n', -1, 'out', cast(array() as array<int>))")
-    folded = arr.withColumn("_r", F.aggregate("_a", zero, step)["out"])
+    folded = arr.withColumn("_r", F.when(F.col("_one"), F.array_repeat(F.lit(0), F.size("_a"))).otherwise(F.aggregate("_a", zero, step)["out"]))
     return folded.select(*block, F.inline(F.transform("_a", lambda s, i: F.struct(
         (F.col("_chain") * 100000 + F.get(F.col("_r"), i)).alias("row_key"), *[s["f"][f].alias(f) for f in fields]))))
 
@@ -98,19 +99,20 @@ def group_rows(pieces: DataFrame, block: list[str] | None = None) -> DataFrame:
 def group_pieces(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
     """Within a row, a new group starts at a gap of at least 0.6 of the largest size of the group and the piece.
 
-    A gap that wide for the largest size of the whole row is a certain cut; only pieces between
-    certain cuts are folded.
+    A gap that wide for the largest size of the whole row is a certain cut, a gap below 0.6 of a piece's own
+    size a certain join; only stretches between certain cuts that also hold uncertain gaps are folded.
     """
     key = [*(block or PAGE), "row_key"]
     w = Window.partitionBy(*key).orderBy("x0", "piece_no")
     prior = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.select("*", prior.alias("_right"), F.max("size").over(Window.partitionBy(*key)).alias("_big"))
     cut = F.col("_right").isNull() | (F.col("x0") - F.col("_right") >= 0.6 * F.greatest(F.col("_big"), F.lit(1)))
-    chained = islands(marked, key, ["x0", "piece_no"], cut, "_chain")
+    sure = cut | (F.col("x0") - F.col("_right") < 0.6 * F.col("size"))
+    chained = islands(marked.withColumn("_sure", sure), key, ["x0", "piece_no"], cut, "_chain")
     fields = [c for c in rows.columns if c not in key]
     arr = chained.groupBy(*key, "_chain").agg(F.array_sort(F.collect_list(F.struct(
         F.col("x0").cast("double").alias("_x0"), F.col("piece_no").alias("_o"), F.col("x1").cast("double").alias("_x1"),
-        F.col("size").cast("double").alias("_s"), F.struct(*fields).alias("f")))).alias("_a"))
+        F.col("size").cast("double").alias("_s"), F.struct(*fields).alias("f")))).alias("_a"), F.bool_and("_sure").alias("_one"))
 
     def step(acc, p):
         fits = (acc["n"] >= 0) & (p["_x0"] - acc["right"] < 0.6 * F.greatest(acc["s"], p["_s"]))
@@ -120,7 +122,7 @@ def group_pieces(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
                         n.alias("n"), F.array_append(acc["out"], n).alias("out"))
 
     zero = F.expr("named_struct('right', 0D, 's', 0D, 'n', -1, 'out', cast(array() as array<int>))")
-    folded = arr.withColumn("_r", F.aggregate("_a", zero, step)["out"])
+    folded = arr.withColumn("_r", F.when(F.col("_one"), F.array_repeat(F.lit(0), F.size("_a"))).otherwise(F.aggregate("_a", zero, step)["out"]))
     return folded.select(*key, F.inline(F.transform("_a", lambda s, i: F.struct(
         (F.col("_chain") * 100000 + F.get(F.col("_r"), i)).alias("group_key"), *[s["f"][f].alias(f) for f in fields]))))
 
