@@ -1,4 +1,8 @@
-"""Tiles, colours, frames and quality figures. Pixels stay in arrays; per-image work is narrow (no shuffle)."""
+"""Tiles, colours, frames and quality figures. Pixels stay in arrays; per-image work is narrow (no shuffle).
+
+Give `psnr` and `block_means` finished columns, not nested expressions: an array expression inside a lambda
+would be evaluated again for every element.
+"""
 
 from __future__ import annotations
 

@@ -92,8 +92,8 @@ def _pairs(spark, d):
 
 @query("psnr", "SELECT vec_id, round(10 * log10(65025.0::DOUBLE / mse), 6) AS psnr FROM f_mse", _PSNR)
 def _(spark, d):
-    v = G.psnr(G.luma(F.col("px"), 3), G.luma(F.col("px2"), 3), F.lit(7), F.lit(3), 1)
-    return _pairs(spark, d).select("vec_id", F.round(v, 6).alias("psnr"))
+    j = _pairs(spark, d).select("vec_id", G.luma(F.col("px"), 3).alias("y"), G.luma(F.col("px2"), 3).alias("y2"))
+    return j.select("vec_id", F.round(G.psnr(F.col("y"), F.col("y2"), F.lit(7), F.lit(3), 1), 6).alias("psnr"))
 
 
 _QUAL = _PSNR | {"f_gray": "SELECT vec_id, list_transform(embedding, lambda v: 16 + (65.481::DOUBLE + 128.553::DOUBLE + 24.966::DOUBLE) * floor(128 + 127 * v::DOUBLE)::INT / 255.0::DOUBLE) AS y FROM embeddings",
@@ -106,9 +106,10 @@ FROM f_mse m JOIN f_cons c USING (vec_id) GROUP BY vec_id % 3, label""", _QUAL)
 def _(spark, d):
     g = table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(floor(128 + 127 * cast(v as double)) as int))").alias("g"))
     j = _pairs(spark, d).join(g, "vec_id").join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("g").alias("g2")), "vec_id")
-    down = [G.block_means(G.luma(F.col(c), 1), 8, 8, 2) for c in ("g", "g2")]
-    s = j.select(F.expr("vec_id % 3").alias("condition"), F.col("label").alias("method"), G.psnr(G.luma(F.col("px"), 3), G.luma(F.col("px2"), 3), F.lit(7), F.lit(3), 1).alias("psnr"),
-                 G.psnr(down[0], down[1], F.lit(4), F.lit(4), 1).alias("consistency"))
+    j = j.select("vec_id", "label", G.luma(F.col("px"), 3).alias("y"), G.luma(F.col("px2"), 3).alias("y2"), G.luma(F.col("g"), 1).alias("l"), G.luma(F.col("g2"), 1).alias("l2"))
+    j = j.select("vec_id", "label", "y", "y2", G.block_means(F.col("l"), 8, 8, 2).alias("m"), G.block_means(F.col("l2"), 8, 8, 2).alias("m2"))
+    s = j.select(F.expr("vec_id % 3").alias("condition"), F.col("label").alias("method"), G.psnr(F.col("y"), F.col("y2"), F.lit(7), F.lit(3), 1).alias("psnr"),
+                 G.psnr(F.col("m"), F.col("m2"), F.lit(4), F.lit(4), 1).alias("consistency"))
     q = G.quality_summary(s, ["condition", "method"], ["psnr", "consistency"])
     return q.select("condition", "method", "n", F.round("psnr", 6).alias("psnr"), F.round("consistency", 6).alias("consistency"))
 
