@@ -188,7 +188,14 @@ def _(spark, d):
     return spread(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", C.normalize_text(F.concat("html", tail)).alias("text"))
 
 
-@query("tidy_text")
+_TIDY = {"f_tchars": """SELECT *, lag(c) OVER w AS a, lead(c) OVER w AS b, lag(c, 2) OVER w AS aa, lead(c, 2) OVER w AS bb FROM (
+   SELECT *, line * 100000 + CASE WHEN (doc_id + line) % 7 = 3 THEN span ELSE span // 4 * 4 END AS ml FROM f_chars WHERE NOT (c = ' ' AND char_no > 0 AND span % 4 = 3)) WINDOW w AS (PARTITION BY doc_id, ml ORDER BY span, char_no)""",
+         "f_tspans": """SELECT doc_id, page, ml, span, font, flags, string_agg(c, '' ORDER BY char_no) AS text FROM f_tchars WHERE NOT coalesce(syn AND a <> ' ' AND b <> ' '
+   AND CASE WHEN a IN ('.', ',') THEN aa <> ' ' WHEN b IN ('.', ',') THEN bb <> ' ' ELSE false END, false) GROUP BY doc_id, page, ml, span, font, flags""",
+         "f_truns": """SELECT *, sum(g::INT) OVER (PARTITION BY doc_id, ml ORDER BY span) AS run FROM (SELECT *, coalesce(lag(font) OVER w <> font OR lag(flags) OVER w <> flags, false) AS g FROM f_tspans WINDOW w AS (PARTITION BY doc_id, ml ORDER BY span))"""}
+
+
+@query("tidy_text", "SELECT doc_id, page, ml AS line, run::INT AS run, string_agg(text, '' ORDER BY span) AS text, font, flags FROM f_truns GROUP BY doc_id, page, ml, run, font, flags", _TIDY)
 def _(spark, d):
     c = (_piece_chars(spark, d).withColumn("char_flags", F.expr("if(syn, 4, 0)")).withColumn("mark", F.lit(False)).drop("syn")
          .withColumn("origin_x", F.col("x0").cast("double")).withColumn("x0", F.col("x0").cast("double")).withColumn("x1", F.col("x1").cast("double")))

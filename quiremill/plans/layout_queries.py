@@ -30,7 +30,7 @@ _PARA = {"f_prow": """SELECT doc_id, page, line_no, x1 - x0 AS w, 10 + line_no %
            lag(t) OVER o AS pt, lag(w) OVER o AS pw, lag(size) OVER o AS ps, lag(bold) OVER o AS pb FROM f_prow WINDOW p AS (PARTITION BY doc_id, page), o AS (PARTITION BY doc_id, page ORDER BY line_no)"""}
 
 
-@query("split_paragraphs", """SELECT doc_id, page, line_no, sum(s::INT) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS para_no FROM (SELECT *, later AND coalesce(
+@query("split_paragraphs", """SELECT doc_id, page, line_no, (sum(s::INT) OVER (PARTITION BY doc_id, page ORDER BY line_no))::BIGINT AS para_no FROM (SELECT *, later AND coalesce(
   (regexp_matches(pt, '[.?!。？！]$') AND (pw / ww <= 0.9 OR (ww - w) / hh >= 0.85)) OR starts_with(t, '- ') OR greatest(size, ps)::DOUBLE / least(size, ps) > 1.15 OR (pb <> bold AND pw / ww <= 0.9), false) AS s FROM f_plag)""", _PARA)
 def _(spark, d):
     r = V.lines(spark, d).selectExpr("doc_id", "page", "line_no as row_no", "x0", "x1", "0 as y0", "10 + line_no % 2 as y1",
@@ -45,7 +45,7 @@ _FLOW = {"f_flow": f"SELECT doc_id, page, line_no, {_Y} AS y0, {_Y} + 10 AS y1,
          "f_mode": "SELECT doc_id, page, g AS common FROM (SELECT doc_id, page, g, row_number() OVER (PARTITION BY doc_id, page ORDER BY count(*) DESC, min(line_no)) AS k FROM f_fgap WHERE g IS NOT NULL GROUP BY doc_id, page, g) WHERE k = 1"}
 
 
-@query("join_lines", """SELECT doc_id, page, line_no, sum(s::INT) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS block_no FROM (
+@query("join_lines", """SELECT doc_id, page, line_no, (sum(s::INT) OVER (PARTITION BY doc_id, page ORDER BY line_no))::BIGINT AS block_no FROM (
   SELECT f.*, pk IS NULL OR kind = 'table' OR pk = 'table' OR (NOT (least(y1, py1) - greatest(y0, py0) > 5) AND (kind = 'image' OR pk = 'image' OR NOT ((g <= common + 1 AND common <= 15) OR (g BETWEEN -5 AND 5)))) AS s
   FROM f_fgap f LEFT JOIN f_mode m ON f.doc_id = m.doc_id AND f.page = m.page)""", _FLOW)
 def _(spark, d):
@@ -95,7 +95,7 @@ _BANDS = _GUT | {
      FROM f_side s LEFT JOIN f_full f ON s.doc_id = f.doc_id AND s.page = f.page GROUP BY s.doc_id, s.page, el_id, side, s.y0, s.y1"""}
 
 
-@query("assign_bands", "SELECT doc_id, page, el_id, side, band_kind, band_no FROM f_band", _BANDS)
+@query("assign_bands", "SELECT doc_id, page, el_id, side, band_kind, band_no::BIGINT AS band_no FROM f_band", _BANDS)
 def _(spark, d):
     return D.assign_bands(*_gutters(spark, d)).select("doc_id", "page", "el_id", "side", "band_kind", "band_no")
 
@@ -106,7 +106,7 @@ _SECT = _BANDS | {"f_bsum": """SELECT doc_id, page, band_kind, band_no, min(y0):
      FROM f_bsum WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, e)"""}
 
 
-@query("sections", """SELECT doc_id, page, section_no, CASE WHEN bool_or(one) THEN 1 ELSE 2 END AS n_cols, max(CASE WHEN s THEN greatest(0, y0 - ref) END)::DOUBLE AS before_space, min(y0) AS y0, max(y1) AS y1, sum(n)::BIGINT AS n_elements
+@query("sections", """SELECT doc_id, page, section_no::BIGINT AS section_no, CASE WHEN bool_or(one) THEN 1 ELSE 2 END AS n_cols, max(CASE WHEN s THEN greatest(0, y0 - ref) END)::DOUBLE AS before_space, min(y0) AS y0, max(y1) AS y1, sum(n)::BIGINT AS n_elements
 FROM (SELECT *, sum(s::INT) OVER (PARTITION BY doc_id, page ORDER BY y0, e) AS section_no FROM f_bord) GROUP BY doc_id, page, section_no""", _SECT)
 def _(spark, d):
     return D.sections(D.assign_bands(*_gutters(spark, d)), 40.0)

@@ -45,7 +45,7 @@ def _(spark, d):
     return B.lines(B.text_items(raw(spark, d))).select("doc_id", "page", "line_no", "y", "text")
 
 
-@query("paragraphs", "SELECT doc_id, page, para_no, n_lines, text FROM f_para", _LINES)
+@query("paragraphs", "SELECT doc_id, page, para_no::BIGINT AS para_no, n_lines, text FROM f_para", _LINES)
 def _(spark, d):
     return B.paragraphs(B.lines(B.text_items(raw(spark, d)))).select("doc_id", "page", "para_no", "n_lines", "text")
 
