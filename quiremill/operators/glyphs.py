@@ -203,9 +203,12 @@ def infer_word_spaces(chars: DataFrame, script: str = HANGUL) -> DataFrame:
     size = F.coalesce(F.nullif(F.greatest("size", nsize).cast("double"), F.lit(0.0)), F.lit(1.0))
     gap = F.when(~_blank("c") & ~_blank(nc) & letter, (nx0 - F.col("x1")) / size)
     able = (F.count("*").over(line) >= 3) & ~_real_space(line) & F.max(F.col("c").rlike(script)).over(line)
-    marked = chars.select("*", F.when(able, gap).alias("_gap"))
-    # only the gaps of a line are gathered; its characters meet the resulting limit in a co-partitioned join
-    gaps = marked.filter("_gap is not null").groupBy(*LINE).agg(F.array_sort(F.collect_list("_gap")).alias("_v")).filter(F.size("_v") >= 2)
+    # The blanks to insert come from a side branch that gathers gaps, and whole characters only where the gap is
+    # clearly above the line's smallest (no other can exceed the limit). The characters themselves pass by unsorted.
+    marked = chars.select("*", F.when(able, gap).alias("_gap")).withColumn("_low", F.min("_gap").over(line)).filter("_gap is not null")
+    rest = [c for c in chars.columns if c not in LINE]
+    wide = F.when(F.col("_gap") > F.col("_low") + 0.09, F.struct("_gap", *rest))
+    gaps = marked.groupBy(*LINE).agg(F.array_sort(F.collect_list("_gap")).alias("_v"), F.collect_list(wide).alias("_w")).filter(F.size("_v") >= 2)
     lo, hi = F.get(F.col("_v"), F.lit(0)), F.element_at("_v", -1)
     gaps = gaps.filter(hi - lo >= 0.15)
 
@@ -221,16 +224,14 @@ def infer_word_spaces(chars: DataFrame, script: str = HANGUL) -> DataFrame:
 
     fit = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(lo.alias("c1"), hi.alias("c2"), F.lit(False).alias("done")), step)
     k = F.col("_k")
-    limits = (gaps.select(*LINE, fit.alias("_k")).filter(k["c2"] - k["c1"] >= 0.15)
-              .select(*LINE, F.greatest((k["c1"] + k["c2"]) / 2, k["c1"] + 0.1).alias("_t")))
-    wide = F.coalesce(F.col("_gap") > F.col("_t"), F.lit(False))
-    rows = (marked.join(limits, LINE, "left").select("*", F.explode(F.when(wide, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_new")))
-    new = F.col("_new") == 1
+    limits = (gaps.select(*LINE, "_w", fit.alias("_k")).filter(k["c2"] - k["c1"] >= 0.15)
+              .select(*LINE, "_w", F.greatest((k["c1"] + k["c2"]) / 2, k["c1"] + 0.1).alias("_t")))
+    behind = limits.select(*LINE, F.inline(F.filter("_w", lambda a: a["_gap"] > F.col("_t"))))
     width = F.col("_gap") * F.coalesce(F.nullif(F.col("size").cast("double"), F.lit(0.0)), F.lit(1.0))
-    put = {"c": F.lit(" "), "x0": F.col("x1"), "x1": (F.col("x1") + width).cast(chars.schema["x1"].dataType), "syn": F.lit(True)}
-    cols = [F.when(new, put[c]).otherwise(F.col(c)).alias(c) if c in put else
-            (F.col("ord") * 2 + F.col("_new")).alias("ord") if c == "ord" else F.col(c) for c in chars.columns]
-    return rows.select(*cols)
+    put = {"c": F.lit(" "), "x0": F.col("x1"), "x1": (F.col("x1") + width).cast(chars.schema["x1"].dataType), "syn": F.lit(True),
+           "ord": F.col("ord") * 2 + 1}
+    blanks = behind.select(*[put.get(c, F.col(c)).alias(c) for c in chars.columns])
+    return chars.withColumn("ord", F.col("ord") * 2).unionByName(blanks)
 
 
 def drop_autospace(chars: DataFrame, wide: str = CJK, narrow: str = ALNUM) -> DataFrame:
