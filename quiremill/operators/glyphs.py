@@ -20,7 +20,9 @@ ALNUM = "[A-Za-z0-9]"
 
 
 def _blank(c) -> Column:
-    return F.col(c).rlike(f"^{WS}*$") if isinstance(c, str) else c.rlike(f"^{WS}*$")
+    """Nothing but white space. Text that starts with a visible ASCII character is settled without the pattern."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.between("!", "~"), F.lit(False)).otherwise(c.rlike(f"^{WS}*$"))
 
 
 def normalize_bullets(text: Column) -> Column:
