@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, type_of, whole_text, worker_cache
 
 MAX_VOCABULARY = 2_000_000
-MEMO = 350_000
-PIECES = 60_000
+WORDS, PIECES, PAIRS = 200_000, 50_000, 300_000
 MEMO_TEXT = 64
 
 
@@ -33,9 +32,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """A bounded memo of two generations: what was used lately survives when it is full."""
+    """A bounded memo of two generations: what was used lately survives when it is full. Long keys are not kept."""
 
-    def __init__(self, make, limit=MEMO):
+    def __init__(self, make, limit):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -43,6 +42,8 @@ class _Memo(dict):
         v = self.old.get(key)
         if v is None:
             v = self.make(key)
+            if key.__class__ is str and len(key) > MEMO_TEXT:
+                return v
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -60,6 +61,7 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.size = max(ranks.values()) + 1
         self.bytes_of = [b""] * self.size
+        self.width = max(map(len, ranks))
         self.matches = ahocorasick.Automaton()
         for b, r in ranks.items():
             self.bytes_of[r] = b
@@ -67,9 +69,10 @@ class Codec:
         self.matches.make_automaton()
         self.plain = self.find(" ab,") == [" ab", ","] and self.find("ab.") == ["ab", "."]
         self.last_merge: dict[int, tuple[int, int] | None] = {}
-        self.fits = _Memo(self._fits, 1_000_000)
+        self.fits = _Memo(self._fits, PAIRS)
         self.pieces = _Memo(lambda s: self._piece(s.encode("utf-8")), PIECES)
-        self.chunks = _Memo(self._chunk)
+        self.words = _Memo(self._word, WORDS)
+        self.shorter: dict[int, tuple[int, int] | None] = {}
 
     def merge(self, b: bytes, below: int) -> list[int]:
         """Ids by merging pairs in rank order, only with ranks under `below` (for single tokens: a few bytes)."""
@@ -117,80 +120,98 @@ class Codec:
             else:
                 limit, right = min(limit, right + 1), inner[0]
 
+    def prefix(self, t: int) -> tuple[int, int] | None:
+        """The longest shorter token that `t` begins with, and its length."""
+        if t not in self.shorter:
+            b = self.bytes_of[t]
+            n = next((k for k in range(len(b) - 1, 0, -1) if b[:k] in self.ranks), 0)
+            self.shorter[t] = (self.ranks[b[:n]], n) if n else None
+        return self.shorter[t]
+
     def piece_ids(self, b: bytes) -> list[int]:
         if b in self.ranks:
             return [self.ranks[b]]
-        # the usual case: the longest match at every step, and all neighbours fit; such a tiling is the only one
-        out = [m[0] for _, m in self.matches.iter_long(b.decode("latin-1"))]
-        fits, size, before = self.fits, self.size, -1
-        for t in out:
-            if before >= 0 and not fits[before + t]:
-                return self._backtrack(b)
+        s, tiles, fits, size, before = b.decode("latin-1"), self.matches.iter_long, self.fits, self.size, -1
+        # the usual case: the longest match at every step, and all neighbours fit
+        out, end = [], 0
+        starts, ahead = [], tiles(s)
+        for last, m in ahead:
+            t, n = m
+            if last + 1 - n != end or before >= 0 and not fits[before + t]:
+                return self._backtrack(s, out, starts, end, m if last + 1 - n == end else self._longest(s, end))
+            out.append(t)
+            starts.append(end)
+            end += n
             before = t * size
-        return out if sum([len(self.bytes_of[t]) for t in out]) == len(b) else self._backtrack(b)
-
-    def _backtrack(self, b: bytes) -> list[int]:
-        n = len(b)
-        found: list[list] = [[] for _ in range(n + 1)]
-        for end, m in self.matches.iter(b.decode("latin-1")):
-            found[end + 1 - m[1]].append(m)  # by rising length
-        fits, size = self.fits, self.size
-        out: list[int] = []
-        way: list[tuple[int, int]] = []
-        dead = bytearray(n + 1)
-        pos, k = 0, len(found[0]) - 1
+        return out if end == len(b) else self._backtrack(s, out, starts, end, self._longest(s, end))
+
+    def _backtrack(self, s: str, out: list[int], starts: list[int], pos: int, here) -> list[int]:
+        """Goes on behind the tokens `out` at `pos`, where `here` is the longest match: shorter matches where a neighbour
+        doesn't fit, and back where none does."""
+        fits, size, n = self.fits, self.size, len(s)
+        dead, ahead = set(), iter(())
         while pos < n:
-            here = found[pos]
-            while k >= 0:
-                t, length = here[k]
-                if not dead[pos + length] and (not out or fits[out[-1] * size + t]):
-                    break
-                k -= 1
-            if k >= 0:
-                out.append(t)
-                way.append((pos, k))
-                pos += length
-                k = len(found[pos]) - 1
+            before = out[-1] * size if out else -1
+            while here is not None and (pos + here[1] in dead or before >= 0 and not fits[before + here[0]]):
+                here = self.prefix(here[0])
+            if here is not None:
+                out.append(here[0])
+                starts.append(pos)
+                pos += here[1]
+                if pos < n:  # the next longest match, from the running search while it is in step
+                    last, here = next(ahead, (-1, (0, 0)))
+                    if last + 1 - here[1] != pos:
+                        ahead = self.matches.iter_long(s, pos)
+                        last, here = next(ahead, (-1, (0, 0)))
+                        if last + 1 - here[1] != pos:
+                            here = self._longest(s, pos)
             else:
-                dead[pos] = 1
-                if not way:
+                dead.add(pos)
+                if not out:
                     raise ValueError("the vocabulary cannot spell this piece")
-                out.pop()
-                pos, k = way.pop()
-                k -= 1
+                pos = starts.pop()
+                here = self.prefix(out.pop())
         return out
 
+    def _longest(self, s: str, pos: int) -> tuple[int, int]:
+        n = self.matches.longest_prefix(s[pos:pos + self.width])
+        while n and not self.matches.exists(s[pos:pos + n]):
+            n -= 1
+        return self.matches.get(s[pos:pos + n]) if n else None
+
     def _piece(self, b: bytes) -> bytes:
         from array import array
         return array("i", self.piece_ids(b)).tobytes()
 
     def _chunk(self, s: str) -> bytes:
         pieces = self.pieces
-        if self.plain and len(s) <= MEMO_TEXT:  # a word, or a word and one mark
-            if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()):
-                return self._piece(s.encode("utf-8"))
-            if s[-1:] in ",." and s[1:-1].isalpha() and (s[0] == " " or s[0].isalpha()):
-                return pieces[s[:-1]] + pieces[s[-1]]
-        return b"".join([pieces[p] if len(p) <= MEMO_TEXT else self._piece(p.encode("utf-8")) for p in self.find(s)])
+        return b"".join([pieces[p] for p in self.find(s)])
+
+    def _word(self, w: str) -> bytes:
+        """A blank and a word."""
+        if self.plain:  # the pattern takes a word of letters with its blank, and a mark behind it alone
+            if w.isalpha():
+                return self._piece((" " + w).encode("utf-8"))
+            if w[-1] in ",." and w[:-1].isalpha():
+                return self._piece((" " + w[:-1]).encode("utf-8")) + self.pieces[w[-1]]
+        return self._chunk(" " + w)
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as 32-bit integers in a row. A single blank between two other characters always begins a
         match of the pattern, so the text is cut there first and equal words are looked up."""
-        chunks = self.chunks
-        return b"".join([chunks[c] if len(c) <= MEMO_TEXT else self._chunk(c) for c in word_chunks(text)])
+        first, *words = cut_at_blanks(text)
+        return self._chunk(first) + b"".join(map(self.words.__getitem__, words))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def word_chunks(text: str) -> list[str]:
-    """The text cut before every single blank that stands between two characters other than white space."""
+def cut_at_blanks(text: str) -> list[str]:
+    """The text cut at every single blank that stands between two characters other than white space."""
     import re
     if re.search(r"\s\s", text) is None and text[:1] != " " and text[-1:] != " ":
-        first, *rest = text.split(" ")
-    else:
-        first, *rest = re.split(r"(?<=\S) (?=\S)", text)
-    return [first, *[" " + w for w in rest]]
+        return text.split(" ")
+    return re.split(r"(?<=\S) (?=\S)", text)
 
 
 def _shared(docs: DataFrame, ranks_path: str, pattern: str):
@@ -199,11 +220,12 @@ def _shared(docs: DataFrame, ranks_path: str, pattern: str):
     return docs.sparkSession.sparkContext.broadcast(ranks), (ranks_path, pattern, len(ranks))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_content: bool = False) -> DataFrame:
     """Token ids of the whole text of every document: (doc_id, token_ids array<int>, n_tokens long), one row per row.
 
-    `pattern` cuts the text into pieces that are encoded separately; there are no special tokens. Null or empty text: no
-    ids. A null `doc_id` stays null, repeated rows stay repeated, other columns are not read.
+    `pattern` cuts the text into pieces that are encoded separately; there are no special tokens. `with_content` adds
+    `content`, the bytes that the ids decode to. Null or empty text: no ids. A null `doc_id` stays null, repeated rows stay
+    repeated, other columns are not read.
     """
     import pyarrow as pa
 
@@ -212,15 +234,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     def work(batch):
         c = worker_cache(("bpe", key), lambda: Codec(shared.value, pattern))
         blobs = [c.encode(t) for t in batch.column(1).to_pylist()]
+        n = [len(b) // 4 for b in blobs]
         ends = [0]
-        for b in blobs:
-            ends.append(ends[-1] + len(b) // 4)
+        for k in n:
+            ends.append(ends[-1] + k)
         ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(blobs))])
-        return {"doc_id": batch.column(0), "token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids),
-                "n_tokens": [len(b) // 4 for b in blobs]}
+        out = {"doc_id": batch.column(0), "token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), "n_tokens": n}
+        if with_content:
+            out["content"] = pa.array([c.decode(memoryview(b).cast("i")) for b in blobs], pa.binary())
+        return out
 
     src = docs.select("doc_id", whole_text("text").alias("text"))
-    return map_arrow(src, work, f"doc_id {type_of(docs, 'doc_id')}, token_ids array<int>, n_tokens long")
+    return map_arrow(src, work, f"doc_id {type_of(docs, 'doc_id')}, token_ids array<int>, n_tokens long" + ", content binary" * with_content)
 
 
 def decode_documents(tokens: DataFrame, ranks_path: str) -> DataFrame:

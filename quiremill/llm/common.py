@@ -35,8 +35,9 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def map_arrow(df: DataFrame, work: Callable, ddl: str) -> DataFrame:
-    """`work` turns an Arrow record batch into rows of `ddl` given as a dict of columns, or None for no rows."""
+def map_arrow(df: DataFrame, work: Callable, ddl: str, rows: int = 256) -> DataFrame:
+    """`work` turns an Arrow record batch of at most `rows` rows into rows of `ddl`, given as a dict of columns. Spark
+    bounds a batch by its bytes; the slices bound what Python objects hold at a time."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -45,10 +46,8 @@ def map_arrow(df: DataFrame, work: Callable, ddl: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = work(batch)
-            if out is not None:
+            for at in range(0, batch.num_rows, rows):
+                out = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out.values(), target)], schema=target)
 

@@ -32,10 +32,8 @@ def vocabulary() -> tuple[str, str]:
 @query()
 def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     path, pattern = vocabulary()
-    tokens = bpe.encode_documents(table(spark, d, "documents"), path, pattern)
-    return bpe.decode_documents(tokens, path).select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(F.array_join("token_ids", " "), "UTF-8"), 256).alias("ids_sha256"),
+    return bpe.encode_documents(table(spark, d, "documents"), path, pattern, with_content=True).select(
+        "doc_id", "n_tokens", F.sha2(F.encode(F.array_join("token_ids", " "), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2("content", 256).alias("decoded_sha256"))
 
 
