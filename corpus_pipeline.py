@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quiremill.llm import bpe, exact_dedup
-from quiremill.llm.queries import vocabulary
+from quiremill.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from quiremill.llm.common import kept, new_folder
+from quiremill.llm.queries import quality_model, vocabulary
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model does not reject (score 0.3 or more); every row is judged by its own text."""
+    return quality.with_scores(docs, quality_model(spark, sf_dir), "_score").filter("_score >= 0.3").drop("_score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,18 +20,36 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.without_exact_duplicates(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of linked fingerprints stays."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark stay."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = kept(decontaminate.contaminated(docs, benchmark).select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, token_ids, n_tokens) of every document that is left."""
     path, pattern = vocabulary()
     return bpe.encode_documents(docs, path, pattern)
 
 
-STAGES = [("exact_dedup", exact_copies), ("byte_bpe", token_ids)]
+STAGES = [("quality_classifier", good_quality), ("exact_dedup", exact_copies), ("simhash_near_dedup", near_copies),
+          ("benchmark_decontamination", benchmark_passages), ("byte_bpe", token_ids)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written as Parquet to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = new_folder(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_arrow, type_of, whole_text, worker_cache
 
@@ -216,3 +217,21 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
         return {"doc_id": batch.column(0), "score": pa.array(m.scores(batch.column(1).to_pylist()))}
 
     return map_arrow(docs.select("doc_id", whole_text("text").alias("text")), work, f"doc_id {type_of(docs, 'doc_id')}, score double")
+
+
+def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` with all its columns and the score of its text as one more; rows never leave their partition."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(texts), pa.float64())],
+                                                 [*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, exact_dedup
+from . import bpe, decontaminate, exact_dedup, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,30 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t""")
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+@query()
+def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents")).select(
+        "doc_id", simhash.hex_of("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query()
+def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no model learns from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, d: str) -> quality.Model:
+    labels = table(spark, d, "labels").select("doc_id", "quality").filter(~held_out())
+    return quality.fit(table(spark, d, "documents"), labels, "quality")
+
+
+@query()
+def op10_quality(spark: SparkSession, d: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, d, "documents"), quality_model(spark, d))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
