@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, decontaminate, exact_dedup, quality, simhash
+from . import archives, bpe, decontaminate, exact_dedup, html_text, quality, sharding, simhash
+from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,41 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def files_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as the library's files; a page's number gives the time of its capture."""
+    return table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("name"),
+                                           F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id")).alias("mtime"),
+                                           F.col("html").alias("content"))
+
+
+@query()
+def op3_html_text(spark: SparkSession, d: str) -> DataFrame:
+    found = html_text.main_text(files_of_pages(spark, d))
+    return found.select(F.col("file_id").alias("page_id"), F.col("name").alias("url"), "text",
+                        F.length("text").cast("long").alias("n_chars"))
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(100)]
+
+
+@query()
+def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
+    return sharding.place(docs, SHARDS).withColumnRenamed("file_id", "doc_id")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
+     q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM q""")
+def op7_warc(spark: SparkSession, d: str) -> DataFrame:
+    history = archives.archive_files(files_of_pages(spark, d), new_folder(spark, "warc"))
+    return history.select(F.col("file_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents")).select(
