@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import archives, bpe, decontaminate, exact_dedup, html_text, quality, sharding, simhash
+from . import archives, bpe, decontaminate, exact_dedup, html_text, quality, repeats, sharding, simhash, token_counts
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,30 @@ def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.place(docs, SHARDS).withColumnRenamed("file_id", "doc_id")
 
 
+def edits_of_documents(docs: DataFrame) -> DataFrame:
+    """Three edits of every document: its source in front, ten characters out of the middle, its language at the end."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda begin, end, text: F.struct(begin.alias("begin"), end.alias("end"), text.alias("text"))
+    mid = F.floor(n / 2).cast("int")
+    return docs.select("doc_id", F.explode(F.array(
+        edit(F.lit(0), F.lit(0), F.concat("source", F.lit("\n"))), edit(mid, mid + 10, F.lit(None).cast("string")),
+        edit(n, n, F.concat(F.lit(" "), "lang")))).alias("e")).select("doc_id", "e.*")
+
+
+@query()
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    path, pattern = vocabulary()
+    docs = table(spark, d, "documents")
+    trees = token_counts.token_trees(docs, path, pattern)
+    return token_counts.recount(trees, edits_of_documents(docs), path, pattern).select(
+        "doc_id", "n_before", "n_tokens", "n_edits", "chars_encoded")
+
+
+@query()
+def op6_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, d, "documents"))
+
+
 @query(r"""
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
      q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
