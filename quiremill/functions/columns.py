@@ -82,3 +82,18 @@ def ordered_concat(value: str, order: str, sep: str = "") -> Column:
 def overlap(lo1, hi1, lo2, hi2) -> Column:
     """Length of the common part of two intervals (negative when apart)."""
     return F.least(col(hi1), col(hi2)) - F.greatest(col(lo1), col(lo2))
+
+
+def double_text(d: Column) -> Column:
+    """A double in the shortest form that most tools print: plain digits from 1e-6 up to 1e21, else with an exponent."""
+    mantissa, e = F.substring_index(F.abs(d).cast("string"), "E", 1), F.substring_index(F.abs(d).cast("string"), "E", -1)
+    has_e = F.contains(d.cast("string"), F.lit("E"))
+    plain = F.regexp_replace(mantissa, r"\.0$", "")
+    digits = F.replace(plain, F.lit("."), F.lit(""))
+    n, x = F.length(digits), e.try_cast("int")
+    whole = F.when(n <= x + 1, F.rpad(digits, x + 1, "0")).otherwise(
+        F.concat(F.substring(digits, F.lit(1), x + 1), F.lit("."), F.substring(digits, x + 2, n)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -x - 1), digits)
+    far = F.concat(plain, F.lit("e"), F.when(x > 0, F.lit("+")).otherwise(F.lit("")), x.cast("string"))
+    text = F.when(~has_e, plain).when(x >= 21, far).when(x >= 0, whole).when(x >= -6, small).otherwise(far)
+    return F.when(d < 0, F.concat(F.lit("-"), text)).otherwise(text)

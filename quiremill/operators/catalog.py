@@ -201,7 +201,7 @@ def unique_names(df: DataFrame, batch: str = "batch", name: str = "name", pos: s
                  .withColumn("_keeps", ~F.coalesce(F.col("_lost"), F.lit(False))).drop("_lost"))
         # index of the occurrence among those that need a number: the first one keeps the plain name
         k = k.withColumn("_i", F.when(F.col("_keeps"), F.col("_k") - 1).otherwise(F.col("_k")))
-        variants = (work.filter((F.col("_level") == lv + 1) & F.col("_raw").rlike(r" \([1-9]\d{0,8}\)\.[^.]*$"))
+        variants = (work.filter((F.col("_level") == lv + 1) & F.col("_raw").rlike(r" \([1-9]\d{0,17}\)\.[^.]*$"))
                     .groupBy(batch, "_raw").agg(F.min(pos).alias("_e"))
                     .select(batch, "_e", F.regexp_replace("_raw", r" \(\d+\)(\.[^.]*)$", "$1").alias("_base"),
                             F.regexp_extract("_raw", r" \((\d+)\)\.[^.]*$", 1).cast("long").alias("_n"))

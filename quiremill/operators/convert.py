@@ -1,6 +1,6 @@
 """Run user-supplied handlers over a corpus of files: routing, dispatch, per-file outcomes.
 
-Handlers are plain Python functions `handler(name, content, target) -> [(name, bytes, note, warning), …]`
+Handlers are plain Python functions `handler(name, content, target) -> [(name, bytes, note, warning), …]` or a `Failure`
 registered by engine id. Spark partitions the files; a partition streams through its handlers batch by
 batch. A failing file yields an error row and never stops the others.
 """
@@ -8,6 +8,7 @@ batch. A failing file yields an error row and never stops the others.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,22 +17,15 @@ from pyspark.sql import functions as F
 from ..functions import ordered
 from . import catalog
 
-Handler = Callable[[str, bytes, str], list[tuple]]
+Handler = Callable[[str, bytes, str], "list[tuple] | Failure"]
 RESULT = ("file_id long, result_no int, name string, content binary, size long, status string, error_kind string, error string, "
           "note string, warning string")
 
 
-class ConvertError(Exception):
-    """A failure whose message may be shown as it is."""
-
-
-class PasswordError(ConvertError):
-    def __init__(self, name: str, wrong: bool = False):
-        super().__init__(name, wrong)
-        self.wrong = wrong
-
-    def __str__(self) -> str:
-        return f"{self.args[0]}: " + ("the password is wrong" if self.wrong else "a password is needed")
+class Failure(NamedTuple):
+    """What a handler returns instead of files: `kind` is convert, password_needed or password_wrong."""
+    kind: str
+    message: str
 
 
 class Registry:
@@ -73,15 +67,11 @@ def _run_file(registry: Registry, engine: str | None, fid: int, name: str, conte
     except ImportError as e:
         return [(fid, 0, name, None, None, "error", "load", str(e), None, None)]
     try:
-        if fn is None:
-            raise ConvertError(f"{name}: no handler for this format")
-        made = fn(name, content, target)
+        made = fn(name, content, target) if fn else Failure("convert", f"{name}: no handler for this format")
+        if isinstance(made, Failure):
+            return [(fid, 0, name, None, None, "error", made.kind, made.message, None, None)]
         return [(fid, i, r[0], r[1], len(r[1]), "ok", None, None, r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None)
                 for i, r in enumerate(made)]
-    except PasswordError as e:
-        return [(fid, 0, name, None, None, "error", "password_wrong" if e.wrong else "password_needed", str(e), None, None)]
-    except ConvertError as e:
-        return [(fid, 0, name, None, None, "error", "convert", str(e), None, None)]
     except Exception as e:  # whatever a codec throws belongs to its file only
         return [(fid, 0, name, None, None, "error", "unknown", f"{type(e).__name__}: {e}", None, None)]
 
@@ -110,10 +100,10 @@ def convert_corpus(files: DataFrame, registry: Registry, target: str, merge: boo
 
 # --- handlers that come with the package ---------------------------------------------------------------
 
-def text_handler(name: str, content: bytes, target: str) -> list[tuple]:
+def text_handler(name: str, content: bytes, target: str) -> list[tuple] | Failure:
     """Plain text of a text-like file as UTF-8."""
     if target != "txt":
-        raise ConvertError(f"{name}: only txt is made here")
+        return Failure("convert", f"{name}: only txt is made here")
     text = bytes(content).decode("utf-8", errors="replace")
     stem = name.rsplit(".", 1)[0] if "." in name else name
     return [(f"{stem}.txt", text.encode("utf-8"), None, None)]

@@ -14,7 +14,6 @@ from ..functions.columns import ext_of, js_round
 
 PAD = 16
 GRAPHIC_COLORS = 32_768
-COLOR_SAMPLES = 2_000_000
 CHUNK_BYTES = 160_000_000
 
 
@@ -40,25 +39,18 @@ def stitch_tiles(tiles: DataFrame, w: str, h: str, out_w: str, out_h: str) -> Da
 
 
 def color_count(px: Column, channels: int) -> Column:
-    """Distinct RGB colours over every k-th pixel, at most about two million looked at."""
+    """Distinct RGB colours over every pixel."""
     n = F.floor(F.size(px) / channels).cast("int")
-    step = F.greatest(F.lit(1), F.floor(n / COLOR_SAMPLES).cast("int"))
-    at = F.sequence(F.lit(0), n - 1, step)
 
     def rgb(i):
         return sum(F.get(px, i * channels + k) * (1 << (16 - 8 * k)) for k in range(3))
-    return F.when(n > 0, F.size(F.array_distinct(F.transform(at, rgb)))).otherwise(0)
+    return F.when(n > 0, F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), rgb)))).otherwise(0)
 
 
 def few_colors(px: Column, channels: int, limit: int = GRAPHIC_COLORS) -> Column:
     return color_count(px, channels) <= limit
 
 
-def few_colors_approx(pixels: DataFrame, key: list[str], rgb: str, limit: int = GRAPHIC_COLORS) -> DataFrame:
-    """The same question over exploded pixels of very large images, from a sketch (about 2% error)."""
-    return pixels.groupBy(*key).agg((F.approx_count_distinct(rgb, 0.02) <= limit).alias("few_colors"))
-
-
 def has_alpha(px: Column, channels: int = 4) -> Column:
     return F.size(F.filter(px, lambda v, i: (i % channels == channels - 1) & (v < 255))) > 0
 

@@ -95,7 +95,7 @@ def group_rows(pieces: DataFrame, block: list[str] | None = None) -> DataFrame:
     zero = F.expr("named_struct('y0', 0D, 'y1', 0D, 'n', -1, 'out', cast(array() as array<int>))")
     folded = arr.withColumn("_r", F.when(F.col("_one"), F.array_repeat(F.lit(0), F.size("_a"))).otherwise(F.aggregate("_a", zero, step)["out"]))
     return folded.select(*block, F.inline(F.transform("_a", lambda s, i: F.struct(
-        (F.col("_chain") * 100000 + F.get(F.col("_r"), i)).alias("row_key"), *[s["f"][f].alias(f) for f in fields]))))
+        F.struct(F.col("_chain").alias("chain"), F.get(F.col("_r"), i).alias("n")).alias("row_key"), *[s["f"][f].alias(f) for f in fields]))))
 
 
 def group_pieces(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def group_pieces(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
     zero = F.expr("named_struct('right', 0D, 's', 0D, 'n', -1, 'out', cast(array() as array<int>))")
     folded = arr.withColumn("_r", F.when(F.col("_one"), F.array_repeat(F.lit(0), F.size("_a"))).otherwise(F.aggregate("_a", zero, step)["out"]))
     return folded.select(*key, F.inline(F.transform("_a", lambda s, i: F.struct(
-        (F.col("_chain") * 100000 + F.get(F.col("_r"), i)).alias("group_key"), *[s["f"][f].alias(f) for f in fields]))))
+        F.struct(F.col("_chain").alias("chain"), F.get(F.col("_r"), i).alias("n")).alias("group_key"), *[s["f"][f].alias(f) for f in fields]))))
 
 
 def overprint_dedupe(chars: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def _(spark, d):
 @query("dedupe_files", """SELECT doc_id, batch, name, size FROM f_files""")
 def _(spark, d):
     f = V.files(spark, d)
-    again = f.withColumn("pos", F.col("pos") + 10_000_000)
+    again = f.withColumn("pos", F.col("pos") + (1 << 62))
     return A.dedupe_files(f.unionByName(again), ["batch", "name", "size"], "pos").select("doc_id", "batch", "name", "size")
 
 
@@ -333,12 +333,12 @@ def _(spark, d):
 
 
 @query("verify_manifest", """SELECT m.name, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN sha256(d.text) = m.pin THEN 'ok' ELSE 'mismatch' END AS status, strlen(d.text) AS size
-FROM (SELECT CASE WHEN doc_id % 10 = 9 THEN doc_id + 100000000 ELSE doc_id END AS name, CASE WHEN doc_id % 10 = 3 THEN sha256(text || 'x') ELSE sha256(text) END AS pin FROM documents) m
+FROM (SELECT CASE WHEN doc_id % 10 = 9 THEN -doc_id - 1 ELSE doc_id END AS name, CASE WHEN doc_id % 10 = 3 THEN sha256(text || 'x') ELSE sha256(text) END AS pin FROM documents) m
 LEFT JOIN documents d ON m.name = d.doc_id""")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
     pins = table(spark, d, "documents").selectExpr(
-        "if(doc_id % 10 = 9, doc_id + 100000000, doc_id) as name",
+        "if(doc_id % 10 = 9, -doc_id - 1, doc_id) as name",
         "sha2(encode(if(doc_id % 10 = 3, concat(text, 'x'), text), 'UTF-8'), 256) as sha256")
     return A.verify_manifest(docs, pins).select("name", "status", F.col("size").cast("long").alias("size"))
 

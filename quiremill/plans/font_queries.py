@@ -81,12 +81,12 @@ _NEED = {"f_inst": "SELECT DISTINCT p_name AS family, lower(regexp_replace(p_nam
 
 
 @query("fonts_needed", """SELECT DISTINCT l_orderkey AS doc_id, f.k AS family_key FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f_inst f ON f.family = p_name
-UNION SELECT DISTINCT l_orderkey + 1000000000, f.k FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f_inst f ON contains(p_type || ' uses ' || upper(p_name[1]) || p_name[2:] || '; ' || p_name || ' regular', f.family)""", _NEED)
+UNION SELECT DISTINCT -l_orderkey - 1, f.k FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f_inst f ON contains(p_type || ' uses ' || upper(p_name[1]) || p_name[2:] || '; ' || p_name || ' regular', f.family)""", _NEED)
 def _(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     docs = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
     exact = docs.select(F.col("l_orderkey").alias("doc_id"), F.col("p_name").alias("font"))
-    runs = docs.select((F.col("l_orderkey") + 1_000_000_000).alias("doc_id"),
+    runs = docs.select((-F.col("l_orderkey") - 1).alias("doc_id"),
                        F.expr("concat(p_type, ' uses ', upper(substring(p_name, 1, 1)), substring(p_name, 2), '; ', p_name, ' regular')").alias("run"))
     return P.fonts_needed(exact, runs, part.select(F.col("p_name").alias("family")).distinct(), "doc_id")
 

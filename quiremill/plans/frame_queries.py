@@ -32,7 +32,7 @@ _COARSE = "list_transform(px, lambda v: v // 32 * 32)"
 
 
 @query("few_colors", f"""SELECT vec_id, count(DISTINCT rgb) AS n_colors, count(DISTINCT rgb) <= 12 AS few FROM (SELECT vec_id, c[i * 3 + 1] * 65536 + c[i * 3 + 2] * 256 + c[i * 3 + 3] AS rgb FROM (
-  SELECT vec_id, {_COARSE} AS c, unnest(range(21)) AS i FROM f_pixels)) GROUP BY vec_id""")
+  SELECT vec_id, {_COARSE} AS c, unnest(range(22)) AS i FROM f_pixels)) GROUP BY vec_id""")
 def _(spark, d):
     p = V.pixels(spark, d).select("vec_id", F.transform("px", lambda v: F.floor(v / 32).cast("int") * 32).alias("px"))
     return p.select("vec_id", G.color_count(F.col("px"), 3).alias("n_colors"), G.few_colors(F.col("px"), 3, 12).alias("few"))
@@ -40,11 +40,11 @@ def _(spark, d):
 
 @query("has_alpha", "SELECT vec_id, vec_id % 3 = 0 AS transparent FROM f_pixels")
 def _(spark, d):
-    p = V.pixels(spark, d).select("vec_id", F.expr("transform(slice(px, 1, 60), (v, i) -> if(i % 4 = 3 and vec_id % 3 <> 0, 255, v))").alias("px"))
+    p = V.bytes_of(spark, d).select("vec_id", F.expr("transform(px, (v, i) -> if(i % 4 = 3 and vec_id % 3 <> 0, 255, v))").alias("px"))
     return p.select("vec_id", G.has_alpha(F.col("px")).alias("transparent"))
 
 
-_SHRINK = {"f_few": f"""SELECT vec_id, count(DISTINCT c[i * 3 + 1] * 65536 + c[i * 3 + 2] * 256 + c[i * 3 + 3]) <= 12 AS few FROM (SELECT vec_id, {_COARSE} AS c, unnest(range(21)) AS i FROM f_pixels) GROUP BY vec_id"""}
+_SHRINK = {"f_few": f"""SELECT vec_id, count(DISTINCT c[i * 3 + 1] * 65536 + c[i * 3 + 2] * 256 + c[i * 3 + 3]) <= 12 AS few FROM (SELECT vec_id, {_COARSE} AS c, unnest(range(22)) AS i FROM f_pixels) GROUP BY vec_id"""}
 
 
 @query("shrink_format", """SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR (ext IN ('png', 'bmp', 'tif', 'tiff') AND few) THEN 'png' WHEN ext = 'webp' THEN 'webp' ELSE 'jpg' END AS out_ext FROM f_ext JOIN f_few ON doc_id = vec_id""", _SHRINK)
@@ -81,8 +81,8 @@ def _(spark, d):
     return G.frame_chunks(f, chunk, F.lit(30.0), order="n")
 
 
-_PSNR = {"f_luma": """SELECT vec_id, label, list_transform(range(21), lambda i: 16 + 65.481::DOUBLE * (px[i * 3 + 1] / 255.0::DOUBLE) + 128.553::DOUBLE * (px[i * 3 + 2] / 255.0::DOUBLE) + 24.966::DOUBLE * (px[i * 3 + 3] / 255.0::DOUBLE)) AS y FROM f_pixels""",
-         "f_mse": """SELECT a.vec_id, a.label, avg((a.y[i] - b.y[i]) ** 2) AS mse FROM f_luma a JOIN f_luma b ON b.vec_id = a.vec_id + 1, (SELECT unnest([9, 10, 11, 12, 13]) AS i) GROUP BY a.vec_id, a.label"""}
+_PSNR = {"f_luma": """SELECT vec_id, label, list_transform(range(22), lambda i: 16 + 65.481::DOUBLE * (px[i * 3 + 1] / 255.0::DOUBLE) + 128.553::DOUBLE * (px[i * 3 + 2] / 255.0::DOUBLE) + 24.966::DOUBLE * (px[i * 3 + 3] / 255.0::DOUBLE)) AS y FROM f_pixels""",
+         "f_mse": """SELECT a.vec_id, a.label, avg((a.y[i] - b.y[i]) ** 2) AS mse FROM f_luma a JOIN f_luma b ON b.vec_id = a.vec_id + 1, (SELECT unnest(range(1, 23)) AS i) GROUP BY a.vec_id, a.label"""}
 
 
 def _pairs(spark, d):
@@ -93,7 +93,7 @@ def _pairs(spark, d):
 @query("psnr", "SELECT vec_id, round(10 * log10(65025.0::DOUBLE / mse), 6) AS psnr FROM f_mse", _PSNR)
 def _(spark, d):
     j = _pairs(spark, d).select("vec_id", G.luma(F.col("px"), 3).alias("y"), G.luma(F.col("px2"), 3).alias("y2"))
-    return j.select("vec_id", F.round(G.psnr(F.col("y"), F.col("y2"), F.lit(7), F.lit(3), 1), 6).alias("psnr"))
+    return j.select("vec_id", F.round(G.psnr(F.col("y"), F.col("y2"), F.lit(11), F.lit(2), 0), 6).alias("psnr"))
 
 
 _QUAL = _PSNR | {"f_gray": "SELECT vec_id, list_transform(embedding, lambda v: 16 + (65.481::DOUBLE + 128.553::DOUBLE + 24.966::DOUBLE) * floor(128 + 127 * v::DOUBLE)::INT / 255.0::DOUBLE) AS y FROM embeddings",
@@ -104,11 +104,11 @@ _QUAL = _PSNR | {"f_gray": "SELECT vec_id, list_transform(embedding, lambda v: 1
 @query("quality_summary", """SELECT vec_id % 3 AS condition, label AS method, count(*) AS n, round(avg(10 * log10(65025.0::DOUBLE / m.mse)), 6) AS psnr, round(avg(10 * log10(65025.0::DOUBLE / c.mse)), 6) AS consistency
 FROM f_mse m JOIN f_cons c USING (vec_id) GROUP BY vec_id % 3, label""", _QUAL)
 def _(spark, d):
-    g = table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(floor(128 + 127 * cast(v as double)) as int))").alias("g"))
+    g = V.bytes_of(spark, d).withColumnRenamed("px", "g")
     j = _pairs(spark, d).join(g, "vec_id").join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("g").alias("g2")), "vec_id")
     j = j.select("vec_id", "label", G.luma(F.col("px"), 3).alias("y"), G.luma(F.col("px2"), 3).alias("y2"), G.luma(F.col("g"), 1).alias("l"), G.luma(F.col("g2"), 1).alias("l2"))
     j = j.select("vec_id", "label", "y", "y2", G.block_means(F.col("l"), 8, 8, 2).alias("m"), G.block_means(F.col("l2"), 8, 8, 2).alias("m2"))
-    s = j.select(F.expr("vec_id % 3").alias("condition"), F.col("label").alias("method"), G.psnr(F.col("y"), F.col("y2"), F.lit(7), F.lit(3), 1).alias("psnr"),
+    s = j.select(F.expr("vec_id % 3").alias("condition"), F.col("label").alias("method"), G.psnr(F.col("y"), F.col("y2"), F.lit(11), F.lit(2), 0).alias("psnr"),
                  G.psnr(F.col("m"), F.col("m2"), F.lit(4), F.lit(4), 1).alias("consistency"))
     q = G.quality_summary(s, ["condition", "method"], ["psnr", "consistency"])
     return q.select("condition", "method", "n", F.round("psnr", 6).alias("psnr"), F.round("consistency", 6).alias("consistency"))

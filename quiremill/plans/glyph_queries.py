@@ -46,17 +46,17 @@ def _(spark, d):
 
 def _pieces(spark, d):
     return V.items(spark, d).selectExpr(
-        "doc_id", "page", "line_no * 100000L + item_no as piece_no", "x as x0", "x + width + if(item_no % 4 = 3, 0, 6) as x1",
+        "doc_id", "page", "line_no * 4294967296L + item_no as piece_no", "x as x0", "x + width + if(item_no % 4 = 3, 0, 6) as x1",
         "y + item_no % 3 as y0", "y + 10 + item_no % 3 as y1", "10.0D as size")
 
 
-@query("group_rows", "SELECT doc_id, page, min(line_no * 100000 + item_no) AS first_piece, count(*) AS n, min(y + item_no % 3) AS y0 FROM f_items GROUP BY doc_id, page, line_no")
+@query("group_rows", "SELECT doc_id, page, min(line_no * 4294967296 + item_no) AS first_piece, count(*) AS n, min(y + item_no % 3) AS y0 FROM f_items GROUP BY doc_id, page, line_no")
 def _(spark, d):
     r = C.group_rows(_pieces(spark, d))
     return r.groupBy("doc_id", "page", "row_key").agg(F.min("piece_no").alias("first_piece"), F.count("*").alias("n"), F.min("y0").alias("y0")).drop("row_key")
 
 
-@query("group_pieces", "SELECT doc_id, page, min(line_no * 100000 + item_no) AS first_piece, count(*) AS n, max(x + width + CASE WHEN item_no % 4 = 3 THEN 0 ELSE 6 END) AS x1 FROM f_items GROUP BY doc_id, page, line_no, item_no // 4")
+@query("group_pieces", "SELECT doc_id, page, min(line_no * 4294967296 + item_no) AS first_piece, count(*) AS n, max(x + width + CASE WHEN item_no % 4 = 3 THEN 0 ELSE 6 END) AS x1 FROM f_items GROUP BY doc_id, page, line_no, item_no // 4")
 def _(spark, d):
     g = C.group_pieces(C.group_rows(_pieces(spark, d)))
     return (g.groupBy("doc_id", "page", "row_key", "group_key").agg(F.min("piece_no").alias("first_piece"), F.count("*").alias("n"), F.max("x1").alias("x1"))
@@ -77,11 +77,11 @@ def _(spark, d):
 
 def _piece_chars(spark, d):
     return (V.chars(spark, d).filter("not (c = ' ' and char_no > 0 and span % 4 = 3)")
-            .withColumn("piece_no", F.expr("line * 100000L + span")).withColumn("ord", F.col("char_no"))
+            .withColumn("piece_no", F.expr("line * 4294967296L + span")).withColumn("ord", F.col("char_no"))
             .withColumn("horizontal", F.expr("(doc_id + line) % 7 <> 3")).drop("line"))
 
 
-@query("merge_row_pieces", """SELECT doc_id, page, min(line * 100000 + span) AS line, string_agg(c, '' ORDER BY span, char_no) AS text FROM f_chars WHERE NOT (c = ' ' AND char_no > 0 AND span % 4 = 3)
+@query("merge_row_pieces", """SELECT doc_id, page, min(line * 4294967296 + span) AS line, string_agg(c, '' ORDER BY span, char_no) AS text FROM f_chars WHERE NOT (c = ' ' AND char_no > 0 AND span % 4 = 3)
 GROUP BY doc_id, page, line, CASE WHEN (doc_id + line) % 7 = 3 THEN span ELSE span // 4 END""")
 def _(spark, d):
     return C.line_text(C.merge_row_pieces(_piece_chars(spark, d)))
@@ -100,13 +100,13 @@ _GAPS = {"f_tight": r"""SELECT doc_id, page, line, row_number() OVER (PARTITION
 FROM f_gap g JOIN f_cent t ON g.doc_id = t.doc_id AND g.line = t.line GROUP BY g.doc_id, g.page, g.line""", _GAPS)
 def infer_word_spaces(spark, d):
     shift = F.expr("0.25D * ((char_no * 7 + span * 3) % 3)")
-    c = (V.chars(spark, d).filter("c <> ' '").select(*C.LINE, F.expr("span * 10000 + char_no").alias("ord"), "c", (F.col("x0") + shift).alias("x0"),
+    c = (V.chars(spark, d).filter("c <> ' '").select(*C.LINE, F.expr("span * 4294967296L + char_no").alias("ord"), "c", (F.col("x0") + shift).alias("x0"),
                                                     (F.col("x1") + shift).alias("x1"), "y0", "y1", "size", "syn"))
     return C.line_text(C.infer_word_spaces(c, _LETTER))
 
 
 def _ordered(spark, d):
-    return V.chars(spark, d).withColumn("ord", F.expr("span * 10000 + char_no")).withColumn("size", F.expr("if(span % 2 = 0, 12, 10)"))
+    return V.chars(spark, d).withColumn("ord", F.expr("span * 4294967296L + char_no")).withColumn("size", F.expr("if(span % 2 = 0, 12, 10)"))
 
 
 _SIDES = {"f_sides": """SELECT doc_id, page, line, span, char_no, c, syn, CASE WHEN span % 2 = 0 THEN 12 ELSE 10 END AS size, bool_or(c = ' ' AND NOT syn) OVER (PARTITION BY doc_id, line) AS really,
@@ -149,7 +149,7 @@ def _(spark, d):
 FROM (SELECT *, lead(item_no) OVER (PARTITION BY doc_id, line_no ORDER BY item_no) AS nxt FROM f_items WHERE str <> '') GROUP BY doc_id, page, line_no""")
 def _(spark, d):
     ch = V.chars(spark, d).filter("c <> ' '")
-    glyphs = ch.selectExpr("doc_id", "page", "line", "span", "char_no", "line * 1000000L + x0 as glyph_no", "c", "x0 + 0.5D * ((doc_id + char_no) % 3) as x", "y0 + 2 as y")
+    glyphs = ch.selectExpr("doc_id", "page", "line", "span", "char_no", "line * 4294967296L + x0 as glyph_no", "c", "x0 + 0.5D * ((doc_id + char_no) % 3) as x", "y0 + 2 as y")
     words = V.items(spark, d).filter("str <> ''").withColumn("run_no", F.expr("item_no div 3"))
     runs = words.groupBy("doc_id", "page", "line_no", "run_no").agg(F.min("x").alias("x"), F.first("y").alias("y"), F.expr("listagg(str, ' ') within group (order by item_no)").alias("text"))
     lead = F.col("run_no") > 0
@@ -189,7 +189,7 @@ def _(spark, d):
 
 
 _TIDY = {"f_tchars": """SELECT *, lag(c) OVER w AS a, lead(c) OVER w AS b, lag(c, 2) OVER w AS aa, lead(c, 2) OVER w AS bb FROM (
-   SELECT *, line * 100000 + CASE WHEN (doc_id + line) % 7 = 3 THEN span ELSE span // 4 * 4 END AS ml FROM f_chars WHERE NOT (c = ' ' AND char_no > 0 AND span % 4 = 3)) WINDOW w AS (PARTITION BY doc_id, ml ORDER BY span, char_no)""",
+   SELECT *, line * 4294967296 + CASE WHEN (doc_id + line) % 7 = 3 THEN span ELSE span // 4 * 4 END AS ml FROM f_chars WHERE NOT (c = ' ' AND char_no > 0 AND span % 4 = 3)) WINDOW w AS (PARTITION BY doc_id, ml ORDER BY span, char_no)""",
          "f_tspans": """SELECT doc_id, page, ml, span, font, flags, string_agg(c, '' ORDER BY char_no) AS text FROM f_tchars WHERE NOT coalesce(syn AND a <> ' ' AND b <> ' '
    AND CASE WHEN a IN ('.', ',') THEN aa <> ' ' WHEN b IN ('.', ',') THEN bb <> ' ' ELSE false END, false) GROUP BY doc_id, page, ml, span, font, flags""",
          "f_truns": """SELECT *, sum(g::INT) OVER (PARTITION BY doc_id, ml ORDER BY span) AS run FROM (SELECT *, coalesce(lag(font) OVER w <> font OR lag(flags) OVER w <> flags, false) AS g FROM f_tspans WINDOW w AS (PARTITION BY doc_id, ml ORDER BY span))"""}

@@ -195,7 +195,7 @@ def _regions(spark, d):
 
 @query("grow_regions")
 def _(spark, d):
-    w = V.items(spark, d).selectExpr("doc_id", "page", "line_no * 1000 + item_no as label_no", "x as x0", "y as y0", "x + width as x1", "y + 10 as y1", "str as text", "10 - item_no % 3 as size")
+    w = V.items(spark, d).selectExpr("doc_id", "page", "line_no * 4294967296L + item_no as label_no", "x as x0", "y as y0", "x + width as x1", "y + 10 as y1", "str as text", "10 - item_no % 3 as size")
     return D.grow_regions(_regions(spark, d), w, w.filter("trim(text) <> ''").select("doc_id", "page", "size"))
 
 

@@ -60,8 +60,8 @@ _VIEWS = {
               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r
               FROM lineitem)""",
     "f_frames": """SELECT label AS stream, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame_no, vec_id,
-        list_transform(embedding[1:2], lambda v: floor(8 * v::DOUBLE)::INT) AS px FROM embeddings""",
-    "f_pixels": """SELECT vec_id, label, list_transform(embedding[1:63], lambda v: floor(128 + 127 * v::DOUBLE)::INT) AS px FROM embeddings""",
+        list_transform(embedding, lambda v: floor(3 * v::DOUBLE)::INT) AS px FROM embeddings""",
+    "f_pixels": """SELECT vec_id, label, list_concat(list_transform(embedding, lambda v: floor(128 + 127 * v::DOUBLE)::INT), [0, 0]) AS px FROM embeddings""",
     "f_logs": """SELECT user_id AS job, event_id AS seq, ts, event_type, CASE event_type
         WHEN 'view' THEN 'Stream #0:0: Video: ' || ['h264','hevc','vp9'][event_id % 3 + 1] || ', yuv420p(tv), 640x360, ' ||
           CASE WHEN event_id % 5 = 0 THEN '25 tbr' WHEN event_id % 5 = 1 THEN '240 fps' ELSE '29.97 fps' END

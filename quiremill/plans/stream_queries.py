@@ -90,7 +90,7 @@ def _(spark, d):
 
 def _strict_text(name, content, target):
     if bytes(content[:2]) == b"\xff\xd8":
-        raise U.PasswordError(name)
+        return U.Failure("password_needed", name)
     if bytes(content[:4]) == b"\x89PNG":
         raise ValueError("broken")
     return U.text_handler(name, bytes(content[8:]), target)

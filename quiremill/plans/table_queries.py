@@ -90,14 +90,14 @@ def stitch_tables(spark, d):
 
 _NUM = r"'^[-+]?(?:0|[1-9]\d{0,2}(?:,\d{3})+|[1-9]\d*)(?:\.\d+)?$'"
 _ONE = {"f_one": """SELECT doc_id, row_no, i, CASE WHEN row_no % 4 = 0 AND i = 1 THEN '0' || cells[2] WHEN row_no % 4 = 1 AND i = 1 THEN '-' || cells[2]
-      WHEN row_no % 4 = 2 AND i = 1 THEN CAST(doc_id AS VARCHAR) ELSE cells[i + 1] END AS c FROM (SELECT *, unnest([0, 1, 2]) AS i FROM f_cells)"""}
+      WHEN row_no % 4 = 2 AND i = 1 THEN CAST(doc_id AS VARCHAR) WHEN row_no % 4 = 3 AND i = 1 THEN cells[2] || '0123456789012345678' ELSE cells[i + 1] END AS c FROM (SELECT *, unnest([0, 1, 2]) AS i FROM f_cells)"""}
 
 
 def _one(spark, d):
     e = V.cells(spark, d).select("doc_id", "row_no", "cells", F.posexplode("cells").alias("i", "c0"))
     return e.select("doc_id", "row_no", "i", F.expr(
         "case when row_no % 4 = 0 and i = 1 then concat('0', cells[1]) when row_no % 4 = 1 and i = 1 then concat('-', cells[1]) "
-        "when row_no % 4 = 2 and i = 1 then cast(doc_id as string) else c0 end").alias("c"))
+        "when row_no % 4 = 2 and i = 1 then cast(doc_id as string) when row_no % 4 = 3 and i = 1 then concat(cells[1], '0123456789012345678') else c0 end").alias("c"))
 
 
 @query("typed_cells", f"SELECT doc_id, row_no, i, coalesce(regexp_matches(c, {_NUM}), false) AS is_number, CASE WHEN regexp_matches(c, {_NUM}) THEN CAST(replace(c, ',', '') AS DOUBLE) END AS value FROM f_one", _ONE)
@@ -118,10 +118,11 @@ def _(spark, d):
 
 
 @query("cell_refs", """SELECT l_orderkey AS o, l_linenumber AS n, i, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(65 + i // 26 - 1) || chr(65 + i % 26)
-  ELSE chr(65 + (i - 702) // 676) || chr(65 + (i - 702) // 26 % 26) || chr(65 + (i - 702) % 26) END || (l_linenumber + 1) AS ref
-FROM (SELECT l_orderkey, l_linenumber, ((l_orderkey * 31 + l_partkey) % 16384)::INT AS i FROM lineitem)""")
+  WHEN i < 18278 THEN chr(65 + (i - 702) // 676) || chr(65 + (i - 702) // 26 % 26) || chr(65 + (i - 702) % 26)
+  ELSE chr(65 + (i - 18278) // 17576) || chr(65 + (i - 18278) // 676 % 26) || chr(65 + (i - 18278) // 26 % 26) || chr(65 + (i - 18278) % 26) END || (l_linenumber + 1) AS ref
+FROM (SELECT l_orderkey, l_linenumber, ((l_orderkey * 31 + l_partkey) % 475254)::INT AS i FROM lineitem)""")
 def _(spark, d):
-    c = table(spark, d, "lineitem").selectExpr("l_orderkey as o", "l_linenumber as n", "cast((l_orderkey * 31 + l_partkey) % 16384 as int) as i")
+    c = table(spark, d, "lineitem").selectExpr("l_orderkey as o", "l_linenumber as n", "cast((l_orderkey * 31 + l_partkey) % 475254 as int) as i")
     return c.select("o", "n", "i", F.concat(T.col_name(F.col("i")), (F.col("n") + 1).cast("string")).alias("ref"))
 
 

@@ -6,13 +6,13 @@ from ..operators import text as B
 from ..sources import views as V
 from .registry import query
 
-_RAW = {"f_raw": """SELECT doc_id, page, line_no, line_no * 100000 + item_no AS item_no, str, x, y + CASE WHEN item_no % 5 = 2 THEN 2 ELSE 0 END AS y,
+_RAW = {"f_raw": """SELECT doc_id, page, line_no, line_no * 4294967296 + item_no AS item_no, str, x, y + CASE WHEN item_no % 5 = 2 THEN 2 ELSE 0 END AS y,
           width FROM f_items WHERE str <> ''"""}
 
 
 def raw(spark, d):
     lift = F.expr("array(transform[0], transform[1], transform[2], transform[3], transform[4], "
-                  "transform[5] + case when item_no % 100000 % 5 = 2 then 2 else 0 end)")
+                  "transform[5] + case when item_no % 4294967296 % 5 = 2 then 2 else 0 end)")
     return V.raw_items(spark, d).withColumn("transform", lift)
 
 

@@ -64,7 +64,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 def raw_items(spark: SparkSession, d: str) -> DataFrame:
     """Words as a text extractor hands them over: a six-number transform, the size inside it."""
     return items(spark, d).select(
-        "doc_id", "page", F.expr("line_no * 100000L + item_no").alias("item_no"), "str",
+        "doc_id", "page", F.expr("line_no * 4294967296L + item_no").alias("item_no"), "str",
         F.expr("array(10, 0, 0, case when item_no % 7 = 3 then 0 else 10 end, x, y)").cast("array<double>")
         .alias("transform"), F.col("width").cast("double").alias("width"), F.lit(10.0).alias("height"))
 
@@ -147,17 +147,24 @@ def cellboxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as tiny frames; px holds the leading values in eighths."""
+    """Vectors as tiny frames; px holds every value in thirds."""
     e = ordered.row_number(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", "frame_no")
     return e.select(F.col("label").alias("stream"), "frame_no", "vec_id",
-                    F.expr("transform(slice(embedding, 1, 2), v -> cast(floor(8 * cast(v as double)) as int))").alias("px"))
+                    F.expr("transform(embedding, v -> cast(floor(3 * cast(v as double)) as int))").alias("px"))
+
+
+def bytes_of(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, px): every value of a vector moved to 0-255."""
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.expr("transform(embedding, v -> cast(floor(128 + 127 * cast(v as double)) as int))").alias("px"))
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as 21-pixel RGB images: each value moved to 0-255."""
+    """Vectors as RGB images: each value moved to 0-255, zeros up to a whole number of pixels."""
     e = table(spark, d, "embeddings")
     return e.select("vec_id", "label", F.expr(
-        "transform(slice(embedding, 1, 63), v -> cast(floor(128 + 127 * cast(v as double)) as int))").alias("px"))
+        "concat(transform(embedding, v -> cast(floor(128 + 127 * cast(v as double)) as int)), "
+        "array_repeat(0, cast(pmod(-size(embedding), 3) as int)))").alias("px"))
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:

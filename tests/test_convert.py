@@ -5,7 +5,7 @@ from quiremill.sources.tables import scan_files
 def test_one_failure_never_stops_the_others(spark):
     def picky(name, content, target):
         if name.startswith("locked"):
-            raise U.PasswordError(name, wrong=name.startswith("locked2"))
+            return U.Failure("password_wrong" if name.startswith("locked2") else "password_needed", name)
         if name.startswith("broken"):
             raise ValueError("bad bytes")
         if name.startswith("two"):
