@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiremill.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from quiremill.llm.common import kept, new_folder
+from quiremill.llm.common import free_name, kept, new_folder
 from quiremill.llm.queries import quality_model, vocabulary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject (score 0.3 or more); every row is judged by its own text."""
-    return quality.with_scores(docs, quality_model(spark, sf_dir), "_score").filter("_score >= 0.3").drop("_score")
+    score = free_name(docs, "score")
+    return quality.with_scores(docs, quality_model(spark, sf_dir), score).filter(F.col(score) >= 0.3).drop(score)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

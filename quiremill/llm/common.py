@@ -38,6 +38,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not use."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -63,7 +63,7 @@ def without_exact_duplicates(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, all columns as they are. Of rows that repeat id and text, which
     one stays is open when their other columns differ."""
     stay = exact_duplicates(docs, salts).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_d", sha256_of(normalised()))
-    met = rows.join(stay, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
-    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id")))
-    return first.filter("_n = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), sha256_of(normalised()).alias("_sha"))
+    met = rows.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")))
+    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_sha").orderBy("_doc")))
+    return first.filter("_n = 1").select("_row.*")

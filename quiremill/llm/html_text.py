@@ -139,6 +139,9 @@ def extract(html: str, sigma: float = 1.0) -> str:
     import statistics
 
     p = _Lines()
+    last = html.rfind("<")
+    if last > html.rfind(">") and (html[last + 1:last + 2].isalpha() or html[last + 1:last + 2] == "/"):
+        html = html[:last]  # a tag that the page's end cuts off
     p.feed(html)
     HTMLParser.close(p)  # what the parser still holds back
     p.end_line()

@@ -115,7 +115,8 @@ def _shared_suffixes(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _with_context(docs: DataFrame, places: DataFrame, gram: int, reach: int) -> DataFrame:
-    """(gram, doc, place, after binary, before binary): up to `reach` words behind the gram and, last first, before it."""
+    """(gram, doc, places array<int>, after binary, before binary): up to `reach` words behind the gram and, last first,
+    before it. Places of a document with the same words around them are one row, so a text that repeats itself stays small."""
     import numpy as np
 
     lists = places.groupBy("doc").agg(F.collect_list(F.struct("place", "gram")).alias("at"))  # a document's own places
@@ -125,14 +126,16 @@ def _with_context(docs: DataFrame, places: DataFrame, gram: int, reach: int) ->
         rows = []
         for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             h = word_hashes(text).astype(">u4")
-            turned = h[::-1]
+            turned, alike = h[::-1], {}
             for p in at:
                 i = p["place"]
-                rows.append((p["gram"], doc, i, h[i + gram:i + gram + reach].tobytes(), turned[len(h) - i:len(h) - i + reach].tobytes()))
-        names = ("gram", "doc", "place", "after", "before")
+                key = (p["gram"], h[i + gram:i + gram + reach].tobytes(), turned[len(h) - i:len(h) - i + reach].tobytes())
+                alike.setdefault(key, []).append(i)
+            rows += [(g, doc, sorted(places), after, before) for (g, after, before), places in alike.items()]
+        names = ("gram", "doc", "places", "after", "before")
         return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
-    return map_arrow(met.select("doc", "text", "at"), work, "gram long, doc long, place int, after binary, before binary", rows=64)
+    return map_arrow(met.select("doc", "text", "at"), work, "gram long, doc long, places array<int>, after binary, before binary", rows=64)
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -165,24 +168,24 @@ class _Neighbours:
         right, left = common_words(a[3], b[3]), common_words(a[4], b[4])
         if left + self.gram + right >= self.min_words:
             for r in (a, b):
-                self.spans.append((r[1], r[2] - left, r[2] + self.gram + right))
+                self.spans += [(r[1], p - left, p + self.gram + right) for p in r[2]]
 
 
 def _matches(rows: DataFrame, first: str, second: str, gram: int, min_words: int, width: int) -> DataFrame:
-    """(doc, first_word, end_word) of matches between neighbours in the order (gram, `first`, `second`)."""
+    """(doc, first_word, end_word) of matches between neighbours in the order (gram, `first`, `second`, doc)."""
     import pyarrow as pa
 
-    names = ["gram", "doc", "place", "after", "before"]
-    order = ["gram", first, second, "doc", "place"]
+    names = ["gram", "doc", "places", "after", "before"]
+    order = ["gram", first, second, "doc"]
     sorted_rows = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).select(*names)
-    ddl = "doc long, first_word int, end_word int, range int, no int, gram long, place int, after binary, before binary"
+    ddl = "doc long, first_word int, end_word int, range int, no int, gram long, places array<int>, after binary, before binary"
 
     def spans(found):
         n = len(found)
         d, a, b = zip(*found) if found else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.nulls(n, t) for t in
-             (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())]], [c.split()[0] for c in ddl.split(", ")])
+             (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())]], [c.split()[0] for c in ddl.split(", ")])
 
     def work(batches):
         from pyspark import TaskContext
@@ -204,7 +207,7 @@ def _matches(rows: DataFrame, first: str, second: str, gram: int, min_words: int
             n = len(ends)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array([here] * n, pa.int32()),
-                 pa.array(range(n), pa.int32()), pa.array(g, pa.int64()), pa.array(p, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())],
+                 pa.array(range(n), pa.int32()), pa.array(g, pa.int64()), pa.array(p, pa.list_(pa.int32())), pa.array(x, pa.binary()), pa.array(y, pa.binary())],
                 [c.split()[0] for c in ddl.split(", ")])
 
     def across(batches):
