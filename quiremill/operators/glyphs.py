@@ -109,7 +109,7 @@ def group_pieces(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
     prior = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.select("*", prior.alias("_right"), F.max("size").over(Window.partitionBy(*key)).alias("_big"))
     cut = F.col("_right").isNull() | (F.col("x0") - F.col("_right") >= 0.6 * F.greatest(F.col("_big"), F.lit(1)))
-    sure = cut | (F.col("x0") - F.col("_right") < 0.6 * F.col("size"))
+    sure = cut | (F.col("x0") - F.col("_right") < 0.6 * F.greatest(F.col("size"), F.lit(1)))
     chained = islands(marked.withColumn("_sure", sure), key, ["x0", "piece_no"], cut, "_chain")
     fields = [c for c in rows.columns if c not in key]
     arr = chained.groupBy(*key, "_chain").agg(F.array_sort(F.collect_list(F.struct(
@@ -117,7 +117,7 @@ def group_pieces(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
         F.col("size").cast("double").alias("_s"), F.struct(*fields).alias("f")))).alias("_a"), F.bool_and("_sure").alias("_one"))
 
     def step(acc, p):
-        fits = (acc["n"] >= 0) & (p["_x0"] - acc["right"] < 0.6 * F.greatest(acc["s"], p["_s"]))
+        fits = (acc["n"] >= 0) & (p["_x0"] - acc["right"] < 0.6 * F.greatest(acc["s"], p["_s"], F.lit(1.0)))
         n = F.when(fits, acc["n"]).otherwise(acc["n"] + 1)
         return F.struct(F.when(fits, F.greatest(acc["right"], p["_x1"])).otherwise(p["_x1"]).alias("right"),
                         F.when(fits, F.greatest(acc["s"], p["_s"])).otherwise(p["_s"]).alias("s"),
@@ -170,12 +170,14 @@ def merge_row_pieces(chars: DataFrame) -> DataFrame:
 
     Input characters carry `piece_no` (drawing order of their piece), `size` and `horizontal`. A group
     keeps the number of its earliest piece; overprinted groups and non-horizontal pieces stay apart.
+    Pieces meet within their `block` of the page where there is such a column, so columns side by side stay apart.
     Output: `line` = number of the merged line, `ord` = place of the character in it.
     """
-    pieces = chars.filter("horizontal").groupBy(*PAGE, "piece_no").agg(
+    block = [*PAGE, *[c for c in chars.columns if c == "block"]]
+    pieces = chars.filter("horizontal").groupBy(*block, "piece_no").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("size"))
-    grouped = group_pieces(group_rows(pieces))
-    gkey = [*PAGE, "row_key", "group_key"]
+    grouped = group_pieces(group_rows(pieces, block), block)
+    gkey = [*block, "row_key", "group_key"]
     w = Window.partitionBy(*gkey)
     place = grouped.select(*PAGE, "piece_no", F.min("piece_no").over(w).alias("_first"), F.count("*").over(w).alias("_n"))
     joined = chars.join(place, [*PAGE, "piece_no"], "left").withColumn("_group", F.coalesce("_first", "piece_no"))
@@ -306,6 +308,8 @@ def tidy_text(chars: DataFrame, script: str = HANGUL, wide: str = CJK, dots: str
     """
     prepared = (chars.withColumn("c", normalize_bullets(F.col("c")))
                 .withColumn("syn", synthetic_flag(F.col("char_flags"), F.col("mark"))).drop("char_flags", "mark"))
+    if "alpha" not in prepared.columns:
+        prepared = prepared.withColumn("alpha", F.lit(255))
     c = merge_row_pieces(prepared)
     if cut:
         ensure_checkpoint_dir(c.sparkSession)
@@ -317,9 +321,9 @@ def tidy_text(chars: DataFrame, script: str = HANGUL, wide: str = CJK, dots: str
     c = islands(c.withColumn("_turn", F.coalesce(turn, F.lit(False))), LINE, ["ord"], F.col("_turn"), "_stretch")
     c = _with_spacing_parts(c.drop("span", "_turn").withColumnRenamed("_stretch", "span"))
     spans = c.groupBy(*LINE, "span").agg(
-        ordered_concat("c", "ord").alias("text"), *[F.min_by(f, "ord").alias(f) for f in ("font", "size", "flags", "color")],
+        ordered_concat("c", "ord").alias("text"), *[F.min_by(f, "ord").alias(f) for f in ("font", "size", "flags", "color", "alpha")],
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), _spacing().alias("spacing"))
-    return merge_runs(spans.withColumn("alpha", F.lit(255)))
+    return merge_runs(spans)
 
 
 def restore_spaces(glyphs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """G: tiles, colours, frames, quality."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import frames as G
 from ..sources import views as V
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
+from ..streaming import live
 from .registry import query
 
 _TILES = {"f_img": "SELECT p_partkey AS id, p_size * 20 AS w, floor(p_retailprice / 3)::INT AS h, CASE WHEN p_partkey % 2 = 0 THEN 128 ELSE 192 END AS t FROM part",
@@ -73,6 +77,21 @@ def reuse_results(spark, d):
     return G.reuse_results(G.same_frame(frames(spark, d))).select("stream", "frame_no", "result_of", "skipped")
 
 
+@query("stream_frame_dedupe", """SELECT stream, frame_no, same, max(CASE WHEN NOT same THEN frame_no END) OVER w AS result_of, (sum(same::INT) OVER w)::BIGINT AS skipped FROM f_same
+WINDOW w AS (PARTITION BY stream ORDER BY frame_no)""", _SAME)
+def stream_frame_dedupe(spark, d):
+    """The live form over all frames: written as files, read as a stream until nothing is left."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/frames-{uuid.uuid4().hex}"
+    spark.conf.set(*live.ROCKSDB)
+    f = frames(spark, d).select(F.col("stream").cast("long").alias("stream"), "frame_no", "px")
+    f.write.parquet(f"{folder}/in")
+    shown = live.stream_frame_dedupe(spark.readStream.schema(f.schema).parquet(f"{folder}/in"))
+    (shown.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+     .start(f"{folder}/out").awaitTermination())
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("frame_chunks", """SELECT stream, (frame_no - 1) // c AS chunk_no, min((frame_no - 1) // c * c / 30.0::DOUBLE) AS start_sec, count(*) AS n_frames FROM (SELECT stream, frame_no,
   greatest(4, least(240, 160000000 // (w * h * 3 + CASE WHEN stream % 2 = 0 THEN 0 ELSE w * h * 16 END))) AS c FROM (SELECT *, 200 + 300 * stream AS w, 150 + 200 * stream AS h FROM f_frames)) GROUP BY stream, chunk_no""")
 def _(spark, d):

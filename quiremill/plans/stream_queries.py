@@ -22,19 +22,20 @@ def _(spark, d):
 
 
 @query("throttled_bytes", """SELECT path, win, (sum(b) OVER (PARTITION BY path ORDER BY win))::BIGINT AS loaded, win = max(win) OVER (PARTITION BY path) AS final FROM (
-  SELECT path, floor(epoch_us(ts) / 21600000000)::BIGINT AS win, sum(loaded) AS b FROM f_progress GROUP BY ALL)""")
+  SELECT path, floor(epoch_us(ts) / 250000)::BIGINT AS win, sum(loaded) AS b FROM f_progress GROUP BY ALL)""")
 def _(spark, d):
-    return H.throttled_bytes(V.progress(spark, d), 21_600_000)
+    return H.throttled_bytes(V.progress(spark, d), 250)
 
 
 def beats(spark, d):
     return V.logs(spark, d).selectExpr("job", "seq", "ts", "if(seq % 3 = 0, 'load', 'run') as phase", "seq % 100 as percent", "cast(seq % 40 as double) as size_mb")
 
 
-@query("stall_detect", """SELECT job, seq, ts, round(gap, 6) AS silent_sec FROM (SELECT *, (lead(epoch_us(ts)) OVER (PARTITION BY job ORDER BY ts, seq) - epoch_us(ts)) / 1000000.0::DOUBLE AS gap FROM f_logs)
+@query("stall_detect", """SELECT job, seq, ts, round(gap, 6) AS silent_sec FROM (SELECT *, (coalesce(lead(epoch_us(ts)) OVER (PARTITION BY job ORDER BY ts, seq), (SELECT max(epoch_us(ts)) FROM f_logs)) - epoch_us(ts)) / 1000000.0::DOUBLE AS gap FROM f_logs)
 WHERE gap > 200 * CASE WHEN seq % 3 = 0 THEN 60 WHEN seq % 100 < 50 THEN 20 + 10 * (seq % 40) ELSE 600 END""")
 def _(spark, d):
-    return H.stall_detect(beats(spark, d), 200.0).withColumn("silent_sec", F.round("silent_sec", 6))
+    seen = beats(spark, d).agg(F.max("ts")).first()[0]  # the time of looking: the last sign of life of any job
+    return H.stall_detect(beats(spark, d), 200.0, as_of=F.lit(seen)).withColumn("silent_sec", F.round("silent_sec", 6))
 
 
 _KIND = "case when event_type = 'error' then 'stall' when event_type = 'purchase' and seq % 4 = 0 then 'error' when event_type = 'signup' and seq % 3 = 0 then 'done' else 'beat' end"
@@ -106,6 +107,17 @@ def convert_corpus(spark, d):
     return U.convert_corpus(files, reg, "txt").select("file_id", "error_kind", "name", "size")
 
 
+@query("register_task", """SELECT doc_id AS file_id, CASE WHEN ext IN ('hwp', 'hwpx') THEN 'load' WHEN e IS NULL THEN 'convert' END AS error_kind, CASE WHEN e IS NULL OR ext IN ('hwp', 'hwpx') THEN name ELSE stem || '.txt' END AS name
+FROM (SELECT *, CASE WHEN ext IN ('docx', 'hwp', 'hwpx', 'pdf', 'doc') THEN 1 END AS e FROM f_heads)""")
+def register_task(spark, d):
+    """A task whose modules are missing fails to load; the others go on."""
+    reg = U.Registry()
+    for name, needs in (("office", ()), ("pdf", ("json",)), ("hwp", ("no_such_module_anywhere",))):
+        U.register_task(reg, name, U.text_handler, needs)
+    files = V.heads(spark, d).select(F.col("doc_id").alias("file_id"), "name", "content")
+    return U.convert_corpus(files, reg, "txt").select("file_id", "error_kind", "name")
+
+
 _TABLES_JSON = """to_json(collect_list(named_struct('page', cast(l_linenumber as int), 'rows', array(array(l_returnflag, cast(l_partkey as string)), array(l_linestatus, null)))))"""
 
 

@@ -1,23 +1,30 @@
-"""Writers for finished results: plain text, CSV and workbooks, one file group per document."""
+"""Writers for finished results: text, CSV lines and workbooks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_text(docs: DataFrame, path: str) -> None:
-    """(doc_id, text) as text files under doc_id=…"""
-    docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").mode("errorifexists").text(path)
+BUCKETS = 256
 
 
-def write_csv_lines(lines: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """CSV lines in row order. A long document is split into numbered parts by its own row numbers, so it is
-    written by many tasks and its parts still read in order."""
-    part = lines.withColumn("part", F.floor((F.col("row_no") - 1) / rows_per_file))
-    (part.repartition("doc_id", "sheet_no", "part").sortWithinPartitions("doc_id", "sheet_no", "part", "row_no")
-     .select("doc_id", "sheet_no", "part", F.col("line").alias("value"))
-     .write.partitionBy("doc_id", "sheet_no", "part").mode("errorifexists").text(path))
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def write_text(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """(doc_id, text) as JSON lines in folders by a hash of doc_id: as many folders as buckets, however many documents."""
+    docs.select(bucket(buckets).alias("bucket"), "doc_id", "text").write.partitionBy("bucket").mode("errorifexists").json(path)
+
+
+def write_csv_lines(lines: DataFrame, path: str, rows_per_part: int = 1_000_000, buckets: int = BUCKETS) -> None:
+    """CSV lines with their document, sheet and row number, in folders by a hash of doc_id. A long document is split
+    into numbered parts by its own row numbers, so it is written by many tasks and its parts still read in order."""
+    part = lines.withColumn("part", F.floor((F.col("row_no") - 1) / rows_per_part)).withColumn("bucket", bucket(buckets))
+    (part.repartition("doc_id", "sheet_no", "part").sortWithinPartitions("bucket", "doc_id", "sheet_no", "part", "row_no")
+     .select("bucket", "doc_id", "sheet_no", "part", "row_no", "line")
+     .write.partitionBy("bucket").mode("errorifexists").parquet(path))
 
 
 def write_blobs(blobs: DataFrame, path: str) -> None:

@@ -49,12 +49,14 @@ def stall_limit(phase: Column, percent: Column, size_mb: Column) -> Column:
     return (F.when(phase == "load", F.lit(60.0)).when(percent < 50, F.lit(20.0) + size_mb * 10.0).otherwise(F.lit(600.0)))
 
 
-def stall_detect(beats: DataFrame, scale: float = 1.0, width: float = DAY) -> DataFrame:
-    """Heartbeats followed by silence beyond their limit. Needs job, seq, ts, phase, percent, size_mb."""
+def stall_detect(beats: DataFrame, scale: float = 1.0, width: float = DAY, as_of: Column | None = None) -> DataFrame:
+    """Heartbeats followed by silence beyond their limit. Needs job, seq, ts, phase, percent, size_mb. With `as_of`, the
+    time of looking, the silence behind a job's last heartbeat counts as well."""
     b = beats.withColumn("_us", micros(beats, "ts"))
     nxt = ordered.neighbour(b, ["job"], "_us", "_next", F.col("_us"), ties=["seq"], width=width, ahead=True)
     limit = stall_limit(F.col("phase"), F.col("percent"), F.col("size_mb")) * scale
-    silent = (F.col("_next") - F.col("_us")) / MICROS
+    until = F.coalesce("_next", F.unix_micros(as_of.cast("timestamp"))) if as_of is not None else F.col("_next")
+    silent = (until - F.col("_us")) / MICROS
     return nxt.withColumn("silent_sec", silent).filter(F.col("silent_sec") > limit).select("job", "seq", "ts", "silent_sec")
 
 

@@ -93,6 +93,8 @@ def test_stalls_raise_alerts_by_event_time(spark, tmp_path):
             (9, 9, at(5000), "run", 60, 1.0)]                                                                # moves the watermark
     df = spark.createDataFrame(data, "job long, seq long, ts timestamp, phase string, percent int, size_mb double")
     assert rows(batch.stall_detect(df), ["job", "seq", "silent_sec"]) == [(1, 1, 170.0)]
+    asked = batch.stall_detect(df, as_of=F.lit(at(1100.5)))
+    assert rows(asked, ["job", "seq", "silent_sec"]) == [(1, 1, 170.0), (1, 2, 900.5), (2, 5, 600.5)]
     got = run(spark, live.stall_detect(feed(spark, df, tmp_path, "ts", 7)), "append")
     alerts = sorted((r.job, r.seq) for r in got.collect())
     assert (1, 1) in alerts and (1, 2) in alerts and (2, 5) in alerts and len(alerts) == 3

@@ -108,7 +108,7 @@ def rows_and_groups(pieces):
     for r in rows:
         cur, right = [], None
         for p in sorted(r["p"], key=lambda p: (p[3], p[2])):
-            if cur and p[3] - right < 0.6 * max(p[7], max(q[7] for q in cur)):
+            if cur and p[3] - right < 0.6 * max(1, p[7], max(q[7] for q in cur)):
                 cur.append(p)
                 right = max(right, p[5])
             else:
@@ -136,6 +136,23 @@ def test_rows_and_groups_of_pieces(spark, seed):
         assert sorted(tuple(x.i) for x in groups if x.page == page) == want_groups
 
 
+def test_columns_side_by_side_stay_apart(spark):
+    """A tall piece in one block doesn't tie the lines of its neighbour together."""
+    words = [("BIG", 0, 100, 126, 0, 0), ("aaaa", 300, 101, 111, 1, 1), ("bbbb", 300, 114, 124, 1, 2)]
+    rows = [(1, 0, b, n, n, i, c, x + 6.0 * i, x + 6.0 * i + 6, float(y0), float(y1), float(y1 - y0), True)
+            for w, x, y0, y1, b, n in words for i, c in enumerate(w)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, block int, line int, piece_no int, ord int, c string, x0 double, x1 double, y0 double, y1 double, "
+                               "size double, horizontal boolean")
+    got = C.line_text(C.merge_row_pieces(df)).collect()
+    assert sorted(r.text for r in got) == ["BIG", "aaaa", "bbbb"]
+
+
+def test_pieces_without_size_join_when_near(spark):
+    rows = [(1, 0, 0, 0.0, 0.0, 5.0, 10.0, 0.0), (1, 0, 1, 5.3, 0.0, 9.0, 10.0, 0.0), (1, 0, 2, 9.7, 0.0, 12.0, 10.0, 0.0)]
+    got = C.group_pieces(C.group_rows(spark.createDataFrame(rows, PIECE))).groupBy("group_key").agg(F.sort_array(F.collect_list("piece_no")).alias("i")).collect()
+    assert sorted(tuple(r.i) for r in got) == [(0, 1), (2,)]
+
+
 def test_blanks_drawn_several_times(spark):
     # blanks at 10, 11 (over the first), 13.5 (beside the first, over the second) and 13.6 (over the third)
     rows = [("a", 0.0, 10.0), (" ", 10.0, 14.0), (" ", 11.0, 15.0), (" ", 13.5, 17.5), (" ", 13.6, 17.6), ("b", 18.0, 28.0)]
