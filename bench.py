@@ -12,7 +12,8 @@ from quiremill.plans.queries import QUERIES
 from quiremill.session import local_session
 
 HEADLINE = ("batch_common_targets unique_names document_text infer_word_spaces running_headers split_paragraphs find_gutter "
-            "stitch_tables sheet_markup column_bounds glyph_fallback fonts_needed reuse_results match_replies stall_detect").split()
+            "stitch_tables sheet_markup column_bounds glyph_fallback fonts_needed reuse_results match_replies stall_detect "
+            "merge_row_pieces restore_spaces").split()
 
 
 def main() -> None:
