@@ -209,8 +209,8 @@ class Codec:
 def cut_at_blanks(text: str) -> list[str]:
     """The text cut at every single blank that stands between two characters other than white space."""
     import re
-    if re.search(r"\s\s", text) is None and text[:1] != " " and text[-1:] != " ":
-        return text.split(" ")
+    if re.search(r"\s\s", text) is None and text[-1:] != " ":
+        return text.split(" ")  # a blank in front makes the first part empty and counts as that of the first word
     return re.split(r"(?<=\S) (?=\S)", text)
 
 
