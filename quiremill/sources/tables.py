@@ -13,10 +13,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by key when the scan has fewer splits than the cluster has cores, for work that is heavy per
-    row. A table of many files is left as it is."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
+    """Rows dealt out by key, for work that is heavy per row: a scan's splits follow bytes, not work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*", with_content: bool = False) -> DataFrame:
