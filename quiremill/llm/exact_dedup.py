@@ -16,7 +16,8 @@ def normalised(text: str = "text") -> Column:
 
 
 def sha256_of(content: Column) -> Column:
-    return F.sha2(F.encode(content, "UTF-8"), 256)
+    """Never null, so that a join on it needs no filter that would compute it twice."""
+    return F.coalesce(F.sha2(F.encode(content, "UTF-8"), 256), F.lit(""))
 
 
 def exact_groups(docs: DataFrame, salts: int = 16, digest=sha256_of) -> DataFrame:
@@ -62,8 +63,11 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, digest=sha256_of) -> Data
 def without_exact_duplicates(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, all columns as they are. Of rows that repeat id and text, which
     one stays is open when their other columns differ."""
-    stay = exact_duplicates(docs, salts).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), sha256_of(normalised()).alias("_sha"))
-    met = rows.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")))
-    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_sha").orderBy("_doc")))
+    def key(digest):  # one key that is never null: the join and the ranking share its exchange and order
+        return F.concat(digest, F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+    stay = exact_duplicates(docs, salts).filter("kept").select(key(F.col("digest")).alias("_stay"))
+    rows = docs.select(F.struct("*").alias("_row"), key(sha256_of(normalised())).alias("_key"))
+    met = rows.join(stay, F.col("_key") == F.col("_stay"))
+    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     return first.filter("_n = 1").select("_row.*")
