@@ -6,8 +6,10 @@ minimiser wherever it stands. Suffixes are sorted and neighbours of different do
 the right and to the left of the minimiser, over as many words as decide whether it is long enough: what lies beyond
 belongs to the next minimiser of the passage, and touching matches are joined.
 Suffixes are first sorted by the hash of their gram alone, as narrow rows; only those with an equal neighbour get their
-surrounding words and are sorted again, once by what follows and once by what comes before. All sorts are over ranges that
-may cut a group of equal suffixes, so no passage is too common; the rows at the cuts are compared once more.
+surrounding words and are sorted again by what follows. Where a gram has more than two suffixes, a shared passage need not
+show between neighbours (another document may share more behind the gram but less before it): the windows of min_words
+words around the gram that neighbours leave open are grouped by hash, and those of two documents are shared. All sorts are
+over ranges that may cut a group of equal suffixes, so no passage is too common; at the cuts every window counts as open.
 """
 
 from __future__ import annotations
@@ -145,84 +147,112 @@ def common_words(a: bytes, b: bytes) -> int:
 
 
 class _Neighbours:
-    """Compares each suffix of a sorted run with the nearest one of another document on either side."""
+    """Compares each suffix of a run sorted by (gram, what follows, ...) with the nearest one of another document on either side.
 
-    def __init__(self, gram: int, min_words: int):
-        self.gram, self.min_words = gram, min_words
-        self.run: list[tuple] = []  # the latest suffixes of one document, all behind `other`
-        self.other: tuple | None = None
-        self.spans: list[tuple] = []
+    `spare` words are wanted besides the gram; window r has r of them behind it and the others before. No suffix of another
+    document has more words behind the gram in common than one of these neighbours, so what is still open about a suffix are
+    its windows with at most so many words behind. Their hashes go into `rows`, but not those shared with the neighbour in
+    front: that one, or one before it, has handed in the same window. Where a gram has two suffixes, nothing is open.
+    """
+
+    def __init__(self, spare: int):
+        self.spare = spare
+        self.run: list[list] = []  # the latest suffixes of one document, all behind `other`: [row, words behind, shared, shared in front]
+        self.other: list | None = None
+        self.waits: list[list] = []  # finished suffixes of a gram of which there are no more than two so far
+        self.n, self.first = 0, True  # suffixes of this gram; is it the first gram, which may have begun in the range before
+        self.start = True  # has no other document come so far
+        self.rows: list[tuple] = []
 
     def add(self, row: tuple) -> None:
-        if self.run and self.run[-1][0] != row[0]:
-            self.run, self.other = [], None
-        if self.run and self.run[-1][1] != row[1]:
+        if self.run and self.run[-1][0][0] != row[0]:
+            self.end()
+            self.first = self.start = False
+        new = [row, self.spare if self.start else 0, 0, 0]
+        if self.run and self.run[-1][0][1] != row[1]:
+            new[1], self.start = 0, False
             for r in self.run:
-                self.compare(r, row)
+                self.compare(r, new)
+            self.finish(([] if self.other is None else [self.other]) + self.run[:-1])
             self.other, self.run = self.run[-1], []
         elif self.other is not None:
-            self.compare(self.other, row)
-        self.run.append(row)
-
-    def compare(self, a: tuple, b: tuple) -> None:
-        right, left = common_words(a[3], b[3]), common_words(a[4], b[4])
-        if left + self.gram + right >= self.min_words:
-            for r in (a, b):
-                self.spans += [(r[1], p - left, p + self.gram + right) for p in r[2]]
-
-
-def _matches(rows: DataFrame, first: str, second: str, gram: int, min_words: int, width: int) -> DataFrame:
-    """(doc, first_word, end_word) of matches between neighbours in the order (gram, `first`, `second`, doc)."""
+            self.compare(self.other, new)
+        self.run.append(new)
+        self.n += 1
+
+    def compare(self, a: list, b: list) -> None:
+        right, left = common_words(a[0][3], b[0][3]), common_words(a[0][4], b[0][4])
+        a[1], b[1] = max(a[1], right), max(b[1], right)
+        if left + right >= self.spare:
+            windows = (2 << right) - (1 << self.spare - left)
+            a[2], b[2], b[3] = a[2] | windows, b[2] | windows, b[3] | windows
+
+    def end(self, cut: bool = False) -> None:
+        """The gram ends, or, if `cut`, goes on in the next range."""
+        if cut:
+            for r in self.run:
+                r[1] = self.spare
+        self.finish(([] if self.other is None else [self.other]) + self.run)
+        for r in self.waits:
+            self.tell(r, self.first or cut)
+        self.run, self.other, self.waits, self.n = [], None, [], 0
+
+    def finish(self, records: list[list]) -> None:
+        self.waits += records
+        if self.n > 2 or self.first:
+            for r in self.waits:
+                self.tell(r, True)
+            self.waits = []
+
+    def tell(self, record: list, open_windows: bool) -> None:
+        (gram, doc, places, after, before), right, shared, front = record
+        hashes, windows = [], []
+        if open_windows:
+            import xxhash
+            for r in range(max(0, self.spare - len(before) // WIDTH), min(right, len(after) // WIDTH) + 1):
+                if not front >> r & 1:
+                    h = xxhash.xxh64_intdigest(bytes([r]) + after[:WIDTH * r] + before[:WIDTH * (self.spare - r)], gram & 0xFFFFFFFFFFFFFFFF)
+                    hashes.append(h - (h >> 63 << 64))
+                    windows.append(2 * r + (shared >> r & 1))
+        if shared or hashes:
+            least, most = ((shared & -shared).bit_length() - 1, shared.bit_length() - 1) if shared else (None, None)
+            self.rows.append((doc, gram, places, least, most, hashes, windows))
+
+
+def _matches(rows: DataFrame, gram: int, spare: int, width: int) -> DataFrame:
+    """(doc, first_word, end_word) of every place around which min_words words stand in another document as well: from the
+    first to the last word of such windows, which all hold the gram."""
     import pyarrow as pa
 
-    names = ["gram", "doc", "places", "after", "before"]
-    order = ["gram", first, second, "doc"]
-    sorted_rows = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).select(*names)
-    ddl = "doc long, first_word int, end_word int, range int, no int, gram long, places array<int>, after binary, before binary"
+    order = ["gram", "after", "before", "doc"]
+    sorted_rows = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).select("gram", "doc", "places", "after", "before")
+    ddl = "doc long, gram long, places array<int>, least int, most int, hashes array<long>, windows array<int>"
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
-    def spans(found):
-        n = len(found)
-        d, a, b = zip(*found) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.nulls(n, t) for t in
-             (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())]], [c.split()[0] for c in ddl.split(", ")])
+    def told(side):
+        out, side.rows = side.rows, []
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [c.split()[0] for c in ddl.split(", ")])
 
     def work(batches):
-        from pyspark import TaskContext
-        here = TaskContext.get().partitionId()
-        side, ends, docs = _Neighbours(gram, min_words), [], set()
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if len(docs) < 2 and row[1] not in docs:  # the first suffixes of two documents
-                    docs.add(row[1])
-                    ends.append(row)
-                side.add(row)
-                if len(side.spans) >= 8192:
-                    yield spans(side.spans)
-                    side.spans = []
-        yield spans(side.spans)
-        ends += [r for r in (side.other, *side.run[-1:]) if r is not None]  # and the last ones
-        if ends:
-            g, d, p, x, y = zip(*ends)
-            n = len(ends)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array([here] * n, pa.int32()),
-                 pa.array(range(n), pa.int32()), pa.array(g, pa.int64()), pa.array(p, pa.list_(pa.int32())), pa.array(x, pa.binary()), pa.array(y, pa.binary())],
-                [c.split()[0] for c in ddl.split(", ")])
-
-    def across(batches):
-        side = _Neighbours(gram, min_words)
+        side = _Neighbours(spare)
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns]):
                 side.add(row)
-        yield spans(side.spans)
+                if len(side.rows) >= 2048:
+                    yield told(side)
+        side.end(cut=True)
+        yield told(side)
 
     found = kept(sorted_rows.mapInArrow(work, ddl))
-    # four rows of every range at most, compared in the order of the ranges
-    cuts = found.filter("range is not null").select("range", "no", *names).repartition(1).sortWithinPartitions("range", "no")
-    both = found.filter("range is null").select("doc", "first_word", "end_word").unionByName(
-        cuts.select(*names).mapInArrow(across, ddl).select("doc", "first_word", "end_word"))
-    return both
+    one = found.filter("size(hashes) > 0").select("doc", "gram", "places", F.explode(F.arrays_zip("hashes", "windows")).alias("w")).select(
+        "doc", "gram", "places", F.col("w.hashes").alias("hash"), F.shiftright("w.windows", 1).alias("r"), (F.col("w.windows") % 2).alias("shared"))
+    # a window two documents share, or one that a suffix shares with its neighbour
+    common = one.groupBy("gram", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("shared").alias("shared")).filter(
+        "a <> b or shared = 1").select("gram", "hash")
+    more = one.filter("shared = 0").join(common, ["gram", "hash"], "left_semi").select("doc", "places", F.col("r").alias("least"), F.col("r").alias("most"))
+    both = found.filter("least is not null").select("doc", "places", "least", "most").unionByName(more)
+    return both.select("doc", F.explode("places").alias("p"), "least", "most").select(
+        "doc", (F.col("p") - spare + F.col("least")).alias("first_word"), (F.col("p") + gram + F.col("most")).alias("end_word"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 25) -> DataFrame:
@@ -230,9 +260,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 25) ->
     end excluded) that are covered by passages of at least `min_words` words standing in another document as well.
 
     `docs` (doc_id, text); words are what white space separates, compared exactly by their hashes. Rows with the same id and
-    text are one document, rows with null ids and different texts are different ones. Every passage of min_words + window - 1
-    words is found whatever else repeats near it; a shorter one if its partner is its neighbour in one of the two orders.
-    Null, empty and short texts have no passages. Other columns are not read.
+    text are one document, rows with null ids and different texts are different ones. Every such passage is found, whatever
+    else repeats near it. Null, empty and short texts have no passages. Other columns are not read.
     """
     gram = min_words - window + 1
     reach = window - 1
@@ -242,8 +271,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 25) ->
     rows = kept(suffix_rows(named, window, gram))
     shared = _shared_suffixes(rows, width)
     context = kept(_with_context(named.select("doc", "text"), shared, gram, reach))
-    spans = _matches(context, "after", "before", gram, min_words, width).unionByName(
-        _matches(context, "before", "after", gram, min_words, width)).groupBy("doc", "first_word").agg(F.max("end_word").alias("end_word"))
+    spans = _matches(context, gram, reach, width).groupBy("doc", "first_word").agg(F.max("end_word").alias("end_word"))
     w = Window.partitionBy("doc").orderBy("first_word")
     upto = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("_new", F.when(F.col("first_word") <= upto, 0).otherwise(1)).withColumn("_no", F.sum("_new").over(w))

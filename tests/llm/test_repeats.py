@@ -79,3 +79,20 @@ def test_awkward_documents(spark):
     n = len(LONG.split())
     assert got == {(6, 0, n), (7, 0, n)}
     assert R.repeated_passages(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_passages_hidden_by_others_that_share_more_on_one_side(spark, partitions):
+    rnd = np.random.default_rng(5)
+    words = lambda n: [f"v{x}" for x in rnd.integers(0, 10**9, n)]
+    rows = []
+    for family in range(12):  # near copies of one stretch, and one document with two of them
+        stretch = words(74)
+        copies = [[w if rnd.random() > 0.05 else words(1)[0] for w in stretch] for _ in range(40)]
+        copies[0] += copies.pop()
+        rows += [(100 * family + i, " ".join(c)) for i, c in enumerate(copies)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    got = covered(R.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == plain(rows, 50)
