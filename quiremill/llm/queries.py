@@ -73,11 +73,12 @@ def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
 def edits_of_documents(docs: DataFrame) -> DataFrame:
     """Three edits of every document: its source in front, ten characters out of the middle, its language at the end."""
     n = F.length(F.coalesce("text", F.lit("")))
-    edit = lambda begin, end, text: F.struct(begin.alias("begin"), end.alias("end"), text.alias("text"))
+    edit = lambda begin, end, text, seq=0: F.struct(
+        begin.alias("begin"), end.alias("end"), text.alias("text"), F.lit(seq).alias("seq"))
     mid = F.floor(n / 2).cast("int")
     return docs.select("doc_id", F.explode(F.array(
         edit(F.lit(0), F.lit(0), F.concat("source", F.lit("\n"))), edit(mid, mid + 10, F.lit(None).cast("string")),
-        edit(n, n, F.concat(F.lit(" "), "lang")))).alias("e")).select("doc_id", "e.*")
+        edit(n, n, F.concat(F.lit(" "), "lang"), 1))).alias("e")).select("doc_id", "e.*")
 
 
 @query()

@@ -136,20 +136,41 @@ def token_trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_arrow(src, work, f"doc_id {type_of(docs, 'doc_id')}, leaves array<string>, leaf_tokens array<int>, n_tokens long")
 
 
-def recount(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, leaves, leaf_tokens, n_tokens long, n_before long, n_edits int, chars_encoded long): the trees after the edits.
+def apart(edits: list[dict], size: int) -> list[tuple[int, int, str]]:
+    """(begin, end, text) without overlaps for edits in order of (begin, end) of a text of `size` characters: each takes what
+    it or one before it covers, up to the next one's begin."""
+    out, upto = [], 0
+    for e, after in zip(edits, [*edits[1:], None]):
+        begin, upto = min(e["begin"], size), max(upto, min(e["end"], size))
+        end = max(begin, upto if after is None else min(upto, after["begin"]))
+        if e["text"] or end > begin:
+            out.append((begin, end, e["text"]))
+    return out
 
-    `edits` (doc_id, begin, end, text) replace the characters [begin, end) of the text that the tree stands for, null text
-    by nothing. Places count in the text before any edit; one edit is taken for each begin (of several, that with the
-    smallest end, then text) and overlapping ones are applied from the back, so a document's edits are at most as many as
-    its characters and travel with it. Documents without edits keep their tree as it is; edits of unknown or null
-    documents, or with null places, change nothing. Documents with the same id get the same edits.
+
+def recount(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, leaves, leaf_tokens, n_tokens long, n_before long, n_edits int, n_left_out int, chars_encoded long): the
+    trees after the edits.
+
+    `edits` (doc_id, begin, end, text and, if they have an order, seq) replace the characters [begin, end) of the text that
+    the tree stands for, null text by nothing. Places count in the text before any edit, those outside it as its nearer end.
+    All edits are applied: what any of them covers goes, every text stands at its own begin; at one place first the
+    insertions by (seq, text), then the replacements by their end. Only rows for the same characters [begin, end) are
+    versions of one replacement: the least text is taken, n_left_out counts the others. Documents without edits keep their
+    tree as it is; edits of unknown or null documents, or with null places, change nothing. Documents with the same id get
+    the same edits.
     """
     shared, key = _shared(trees, ranks_path, pattern)
-    one = edits.dropna(subset=["doc_id", "begin", "end"]).groupBy("doc_id", "begin").agg(
-        F.min(F.struct(F.col("end").cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text"))).alias("e"))
-    lists = one.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("begin").cast("long").alias("begin"), "e.end", "e.text")), asc=False).alias("edits"))
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    placed = edits.dropna(subset=["doc_id", "begin", "end"]).select(
+        F.col("doc_id").alias("_id"), F.greatest(F.col("begin").cast("long"), F.lit(0)).alias("begin"), F.col("end").cast("long").alias("end"),
+        F.coalesce("text", F.lit("")).alias("text"), seq.alias("seq")).withColumn("end", F.greatest("begin", "end")).repartition("_id")
+    inserts = F.col("begin") == F.col("end")
+    one = placed.groupBy("_id", "begin", "end").agg(
+        F.sort_array(F.collect_list(F.when(inserts, F.struct("seq", "text")))).alias("all"), F.min("text").alias("least"), F.count("*").alias("rows"))
+    merged = F.when(inserts, F.array_join(F.col("all.text"), "")).otherwise(F.col("least"))
+    lists = one.select("_id", "begin", "end", merged.alias("text"), "rows").groupBy("_id").agg(
+        F.sort_array(F.collect_list(F.struct("begin", "end", "text", "rows"))).alias("edits"))
     met = trees.join(lists, trees["doc_id"] == F.col("_id"), "left").select("doc_id", "leaves", "leaf_tokens", "n_tokens", "edits")
 
     def work(batch):
@@ -157,17 +178,18 @@ def recount(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -
         out = []
         for i, leaves, tokens, n, es in zip(*[col.to_pylist() for col in batch.columns]):
             if not es:
-                out.append((i, leaves, tokens, n, n, 0, 0))
+                out.append((i, leaves, tokens, n, n, 0, 0, 0))
                 continue
             tree = TokenTree(leaves, tokens, lambda t: len(c.encode(t)) // 4)
-            for e in es:
-                tree.replace(e["begin"], e["end"], e["text"])
+            for begin, end, text in reversed(apart(es, sum(map(len, leaves)))):
+                tree.replace(begin, end, text)
+            versions = sum(e["rows"] - 1 for e in es if e["end"] > e["begin"])
             left = [(t, k) for t, k in zip(tree.leaves, tree.tokens[tree.n:]) if t]
-            out.append((i, [t for t, _ in left], [k for _, k in left], tree.total(), n, len(es), tree.encoded))
+            out.append((i, [t for t, _ in left], [k for _, k in left], tree.total(), n, sum(e["rows"] for e in es) - versions, versions, tree.encoded))
         return dict(zip(NAMES, map(list, zip(*out))))
 
     return map_arrow(met, work, f"doc_id {type_of(trees, 'doc_id')}, leaves array<string>, leaf_tokens array<int>, n_tokens long, "
-                     "n_before long, n_edits int, chars_encoded long")
+                     "n_before long, n_edits int, n_left_out int, chars_encoded long")
 
 
-NAMES = ["doc_id", "leaves", "leaf_tokens", "n_tokens", "n_before", "n_edits", "chars_encoded"]
+NAMES = ["doc_id", "leaves", "leaf_tokens", "n_tokens", "n_before", "n_edits", "n_left_out", "chars_encoded"]

@@ -53,3 +53,26 @@ def test_awkward_documents(spark):
     assert got[8].n_edits == 0 and got[8].n_tokens == got[8].n_before and got[None].n_edits == 0
     assert T.recount(T.token_trees(empty(spark), PATH, P.PATTERN), edits, PATH, P.PATTERN).count() == 0
     assert T.recount(trees, edits.filter("false"), PATH, P.PATTERN).filter("n_tokens <> n_before").count() == 0
+
+
+def test_all_edits_at_one_place(spark):
+    docs = spark.createDataFrame([(1, ""), (2, "x"), (3, "one two three"), (4, "abcdefghij"), (5, "ab")], "doc_id long, text string")
+    edits = [(1, 0, 0, "b", 1), (1, 0, 0, "z", 0), (1, 0, 10, None, 0), (2, 0, 0, "front ", 0), (2, 0, 10, None, 0), (2, 1, 1, " end", 1),
+             (3, 3, 3, " and", 0), (3, 3, 3, " and", 0), (3, 3, 7, None, 0), (4, 0, 5, "X", 0), (4, 3, 8, "Y", 0), (4, 3, 4, "Z", 0), (4, 6, 6, "W", 0),
+             (5, 9, 9, "2", 0), (5, 4, 4, "1", 0), (5, -3, 1, "0", 0), (5, 1, 30, None, 0)]
+    trees = T.token_trees(docs, PATH, P.PATTERN)
+    rows = T.recount(trees, spark.createDataFrame(edits, "doc_id long, begin int, end int, text string, seq int"), PATH, P.PATTERN).collect()
+    want = {1: "zb", 2: "front  end", 3: "one and and three", 4: "XZYWij", 5: "012"}
+    assert {r.doc_id: "".join(r.leaves) for r in rows} == want
+    assert all(r.n_tokens == sum(map(count, r.leaves)) == count(want[r.doc_id]) and r.n_left_out == 0 for r in rows)
+    assert {r.doc_id: r.n_edits for r in rows} == {1: 3, 2: 3, 3: 3, 4: 4, 5: 4}
+
+
+def test_the_query_applies_its_three_edits(spark):
+    from quiremill.llm.queries import edits_of_documents
+    texts = [None, "", "x", "twelve chars", "some words in a row " * 40]
+    docs = spark.createDataFrame([(i, t, "src", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    for r in T.recount(T.token_trees(docs, PATH, P.PATTERN), edits_of_documents(docs), PATH, P.PATTERN).collect():
+        t = texts[r.doc_id] or ""
+        want = "src\n" + t[:len(t) // 2] + t[len(t) // 2 + 10:] + " en"
+        assert "".join(r.leaves) == want and r.n_edits == 3 and r.n_tokens == count(want)
