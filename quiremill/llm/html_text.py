@@ -4,7 +4,8 @@ One pass of parser events cuts a page into lines (its blocks). Each line has a t
 for each tag met since the line before. The ratios are smoothed with a Gaussian over the neighbouring lines and clustered
 by a threshold, their standard deviation; lines above it are content. The content region is the article, or else the
 smallest element that holds all content lines; its lines are returned, short ones between long ones too, without those
-that an element marks as something else (menus, forms, notices, adverts, reader comments).
+that an element marks as something else (menus, forms, notices, adverts, reader comments). A class name or a form marks
+nothing where it wraps the page: the article that holds the clustered text, or most of that text itself.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 REGIONS = {"article", "main", "section", "div", "body", "td", "aside", "nav", "header", "footer", "form", "html"}
 NOT_TEXT = {"head", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "audio", "video", "math", "title",
-            "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "dialog", "menu"}
+            "nav", "footer", "aside", "button", "select", "option", "textarea", "input", "label", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "note"}
 NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|pop|modal|overlay|newsletter|"
     r"subscri\w+|signup|login|side|sidebar|rail|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|disqus|"
     r"respond|repl(?:y|ies)|shar(?:e|ing)|social|related|recommended|widget|pagination|pager|skip|search)(?=$|[-_\s])", re.I)
+SURE = re.compile(r"(?:^|[-_])(?:ads?|advert|sponsor|promo|cookies?|consent|gdpr|newsletter|comments?|disqus|respond|repl(?:y|ies)|related|recommended)", re.I)
+MODIFIER = re.compile(r"(?:has|with|no|without)[-_]", re.I)  # says something of a layout, not what the element is
 SPACE = re.compile(r"\s+")
 
 
@@ -39,7 +42,10 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple] = []
-        self.open: list[tuple[str, bool]] = []  # element, is what it holds marked as something else
+        # element, is what it holds surely something else (1) or not read (2), the elements around that are marked by a name only
+        self.open: list[tuple[str, int, tuple[int, ...]]] = []
+        self.sure: list[bool] = []  # of every element marked by a name: is the name a whole class or one of SURE
+        self.around: dict[int, tuple[int, ...]] = {}  # of articles: the elements around that are marked by a name
         self.path: tuple[int, ...] = ()
         self.paths: list[tuple[int, ...]] = []
         self.kind: dict[int, str] = {}
@@ -49,7 +55,7 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.linked, self.tags, self.path, bool(self.open) and self.open[-1][1]))
+            self.lines.append((text, self.linked, self.tags, self.path, *(self.open[-1][1:] if self.open else (0, ()))))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -58,14 +64,19 @@ class _Lines(HTMLParser):
             return True
         if tag == "header":
             return self.articles == 0
+        return any(k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+
+    def named(self, tag: str, attrs) -> bool | None:
+        """None: no name marks the element; True: one does that is a whole class or one of SURE; False: another one, or a form."""
+        found = [False] if tag == "form" else []
         for k, v in attrs:
-            if k in ("class", "id") and v and tag not in ("html", "body", "article", "main", "b", "i", "p", "span") and NAMES.search(v):
-                return True
+            if k in ("class", "id") and v and tag not in ("html", "body", "article", "main", "b", "i", "p", "span"):
+                for name in v.split():
+                    if not MODIFIER.match(name) and (m := NAMES.search(name)):
+                        found.append(m[0] == name or bool(SURE.search(name)))
             if k in ("class", "id") and v and tag == "article" and re.search(r"(?:^|[-_\s])(?:comment|repl(?:y|ies)|advert|promo|related)", v, re.I):
-                return True
-            if k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
-                return True
-        return False
+                found.append(True)
+        return any(found) if found else None
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -77,8 +88,13 @@ class _Lines(HTMLParser):
                 self.shut(tag, within=BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6"})
         if tag in VOID:
             return
-        inside = bool(self.open) and self.open[-1][1]
-        self.open.append((tag, inside or self.marked(tag, attrs)))
+        inside, names = self.open[-1][1:] if self.open else (0, ())
+        outer, name = names, self.named(tag, attrs)
+        if name is not None:
+            names = (*names, len(self.sure))
+            self.sure.append(name)
+        unread = tag in NOT_TEXT and tag not in BLOCKS  # stands inside a line, which must not take its text
+        self.open.append((tag, max(inside, 2 if unread else int(self.marked(tag, attrs))), names))
         if tag == "article" or tag == "main":
             self.articles += 1
         if tag == "a":
@@ -86,6 +102,8 @@ class _Lines(HTMLParser):
         if tag in REGIONS:
             n = len(self.kind)
             self.kind[n] = tag
+            if (tag == "article" or tag == "main") and name is None:
+                self.around[n] = outer
             self.paths.append(self.path)
             self.path = (*self.path, n)
 
@@ -107,7 +125,7 @@ class _Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                for gone, _ in self.open[i:]:
+                for gone, *_ in self.open[i:]:
                     self.articles -= gone in ("article", "main")
                     self.links -= gone == "a"
                     if gone in REGIONS:
@@ -118,6 +136,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1][1] == 2:
+            return
         self.parts.append(data)
         if self.links > 0:
             self.linked += len(data)
@@ -134,6 +154,23 @@ def smoothed(ratios: list[float], sigma: float) -> list[float]:
     return (weighted / weight).tolist()
 
 
+def _lifted(p: _Lines, clustered: list[tuple]) -> set[int]:
+    """Elements marked by a name that are wrappers of the page: around an article that holds at least half of the clustered
+    text, with more than half of it themselves (if the name is not sure), or with all of it."""
+    total, held, inside = sum(len(x[0]) for x in clustered), {}, {}
+    for x in clustered:
+        for n in x[5]:
+            held[n] = held.get(n, 0) + len(x[0])
+        for n in x[3]:
+            if n in p.around:
+                inside[n] = inside.get(n, 0) + len(x[0])
+    out = {n for n, k in held.items() if k == total or k * 2 > total and not p.sure[n]}
+    for n, k in inside.items():
+        if k * 2 >= total:
+            out.update(p.around[n])
+    return out
+
+
 def extract(html: str, sigma: float = 1.0) -> str:
     """Main text of one page, blocks joined by line feeds."""
     import statistics
@@ -145,15 +182,19 @@ def extract(html: str, sigma: float = 1.0) -> str:
     p.feed(html)
     HTMLParser.close(p)  # what the parser still holds back
     p.end_line()
-    plain = [x for x in p.lines if not x[4]]
-    if not plain:
+    if not p.lines:
         return ""
-    ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _, m in p.lines], sigma)
+    ratios = smoothed([max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in p.lines], sigma)
     threshold = statistics.pstdev(ratios)
-    content = [x for x, r in zip(p.lines, ratios) if r >= threshold and not x[4]] or plain
+    clustered = [x for x, r in zip(p.lines, ratios) if r >= threshold and not x[4]] or [x for x in p.lines if not x[4]]
+    lifted = _lifted(p, clustered)
+    plain = [x for x in p.lines if not x[4] and lifted.issuperset(x[5])]
+    if not plain:
+        return ""
+    content = [x for x in clustered if lifted.issuperset(x[5])] or plain
     # the region: an article that holds most of the content, or what all content lines share
     weight: dict[int, int] = {}
-    for t, _, _, path, _ in content:
+    for t, _, _, path, *_ in content:
         for n in path:
             if p.kind[n] in ("article", "main"):
                 weight[n] = weight.get(n, 0) + len(t)

@@ -55,3 +55,19 @@ def test_awkward_files(spark):
     as_bytes = H.main_text(files.withColumn("content", files["content"].cast("binary"))).collect()
     assert sorted((r.file_id or 0, len(r.text)) for r in as_bytes) == got
     assert H.main_text(files_of(empty(spark))).count() == 0
+
+
+def test_names_of_wrappers_do_not_drop_the_page():
+    for name in ("has-sidebar", "content with-sidebar", "no-comments", "search-results", "sticky-header site", "comments-enabled", "sidebar"):
+        for inner in (f"<article>{BODY}</article>", f"<main>{BODY}</main>", f'<div class="post">{BODY}</div>'):
+            assert H.extract(f'<html><body><div class="{name}">{inner}<div class="cookie-notice"><p>We use cookies.</p></div></div></body></html>') == TEXT
+    for name in ("has-sidebar", "search-results", "sticky-header site"):
+        assert H.extract(PAGE % f'<div class="{name}"><div>{BODY * 4}</div></div>') == "\n".join([TEXT] * 4)
+    assert H.extract(f"<form>{PAGE % f'<article>{BODY * 2}</article>'}</form>") == "\n".join([TEXT] * 2)
+    assert H.extract(f"<body><form><div>{BODY}</div><input><button>Go</button></form></body>") == TEXT
+
+
+def test_long_comments_and_sidebars_stay_out():
+    long = "<p>Words of somebody else that go on and on, longer than the post itself.</p>" * 20
+    for name in ("comments", "comments-area", "sidebar", "related-posts"):
+        assert H.extract(f'<body><div class="post">{BODY}</div><div class="{name}">{long}</div></body>') == TEXT
