@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import archives, bpe, decontaminate, exact_dedup, html_text, quality, repeats, sharding, simhash, token_counts
+from . import archives, bpe, decontaminate, exact_dedup, html_text, line_runs, quality, repeats, sharding, simhash, token_counts
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,18 @@ def quality_model(spark: SparkSession, d: str) -> quality.Model:
 def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     scored = quality.quality_scores(table(spark, d, "documents"), quality_model(spark, d))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+     k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+     f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+     d AS (SELECT k.*, f.last IS NOT NULL AND f.last <> doc_id AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id""")
+def op13_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_runs.without_frequent_lines(table(spark, d, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
