@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import archives, bpe, decontaminate, exact_dedup, html_text, line_runs, quality, repeats, sharding, simhash, token_counts
+from . import alignment, archives, bpe, decontaminate, divergence, exact_dedup, html_text, line_runs, quality, repeats, sharding, simhash, token_counts
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,42 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+     o AS (SELECT lang, source, unnest(words) AS item FROM d),
+     u AS (SELECT lang, unnest(list_distinct(words)) AS item FROM d),
+     k AS (SELECT lang, item FROM u GROUP BY ALL HAVING count(*) >= 30),
+     v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     c AS (SELECT lang, source, item, count(*) AS n FROM o SEMI JOIN k USING (lang, item) GROUP BY ALL),
+     gt AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+     lc AS (SELECT lang, item, sum(n) AS n FROM c GROUP BY ALL),
+     lt AS (SELECT lang, sum(n) AS total FROM lc GROUP BY ALL),
+     p AS (SELECT lang, source, item, coalesce(c.n, 0) AS n,
+                  1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(total, 0)::HUGEINT + 5 * v) AS p
+           FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN gt USING (lang, source) LEFT JOIN c USING (lang, source, item)),
+     q AS (SELECT lang, item, 1 + (1000000000::HUGEINT * (n + 5)) // (total::HUGEINT + 5 * v) AS q FROM lc JOIN lt USING (lang) JOIN v USING (lang)),
+     f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+           UNION ALL SELECT lang, source, 'term', item, p - q FROM p JOIN q USING (lang, item) WHERE p.n > 0 AND p > q),
+     s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM s WHERE part = 'pair' OR rank <= 50""")
+def op11_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("text", "lang", F.col("source").alias("category"))
+    return divergence.category_divergence(docs).withColumnRenamed("category", "source")
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+    return alignment.align_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
