@@ -6,6 +6,10 @@ a document; a hash function samples some steps of the walk over it. Items are en
 stretch without an edit is enough for a common key, and every function walks by random bits of its own; together they
 reach the target recall. Every candidate is decided by the exact edit distance to its item.
 
+The samples come from the first STEPS steps of a walk. After an edit two walks meet again only by chance: with a fifth of the
+words edited, four samples over the whole walk of a window of 10, 50 or 100 words agree in 27, 9 or 3 of 100 tries
+(`agreement`), so the target recall would take 15, 46 or 130 functions, where the short walks from every inner place take 5.
+
 Items are the query set: they are taken to the tasks in blocks of bounded size, all documents pass by each block, and
 nothing is shuffled.
 """
@@ -13,12 +17,14 @@ nothing is shuffled.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_arrow, type_of, whole_text
+from .common import kept, map_arrow, type_of, whole_text
 
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 SHORT = 10
 STEPS = 6
 SAMPLES = 4
@@ -43,6 +49,11 @@ def _bare(raw: str) -> str:
     return raw if raw.isalnum() else re.sub(r"^[\W_]+|[\W_]+$", "", raw)
 
 
+def common_among(holders: Counter, items: int) -> frozenset[str]:
+    """Words that more than one in fifty items hold, given in how many each occurs."""
+    return frozenset(w for w, n in holders.items() if n > max(1, items // 50))
+
+
 class _Symbols(dict):
     """Raw word -> number of its bare form among the items' words; 0: not in any item, -1: no word at all."""
 
@@ -63,9 +74,10 @@ class _Symbols(dict):
 
 
 class ItemIndex:
-    """The items of one block: their words as symbols and, for each hash function, a sorted list of keys."""
+    """The items of one block: their words as symbols and, for each hash function, a sorted list of keys. `common` are the
+    words of many items of the whole benchmark, which make poor keys; those of these items if not given."""
 
-    def __init__(self, items: list[tuple], similarity: float, functions: int, seed: int = 11):
+    def __init__(self, items: list[tuple], similarity: float, functions: int, seed: int = 11, common: frozenset[str] | None = None):
         import numpy as np
 
         self.ids = [i for i, _ in items]
@@ -79,10 +91,10 @@ class ItemIndex:
         self.limit = [int((1 - similarity) * len(ws) + 1e-9) for ws in words]
         rng = np.random.default_rng(seed)
         n = len(known) + 1
-        in_items = np.zeros(n, np.int64)
-        for x in self.items:
-            in_items[np.unique(x)] += 1
-        self.rare = (in_items <= max(1, len(items) // 50)).astype(np.int64)
+        if common is None:
+            common = common_among(Counter(w for ws in words for w in set(ws)), len(items))
+        self.rare = np.ones(n, np.int64)
+        self.rare[[known[w] for w in common if w in known]] = 0
         self.tables = []
         short = [i for i, x in enumerate(self.items) if 0 < len(x) < SHORT]
         long = [i for i, x in enumerate(self.items) if len(x) >= SHORT]
@@ -159,8 +171,9 @@ class ItemIndex:
             self.filters.append((begins, allowed))
         return self
 
-    def candidates(self, x):
-        """(place in x of the item's first word, item) arrays, sorted without repeats."""
+    def candidates(self, x, first):
+        """(text, item, place in x of the item's first word) rows, sorted without repeats. The text is the one that holds the
+        key; the item's first word would stand before it where the text begins inside the item."""
         import numpy as np
         found = []
         for (walk, keys, item, place), (begins, allowed) in zip(self.tables, self.filters):
@@ -169,8 +182,9 @@ class ItemIndex:
             hit = hi > lo
             p, lo, n = p[hit], lo[hit], (hi - lo)[hit]
             e = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(p, n) - place[e], item[e]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            at = np.repeat(p, n)
+            found.append(np.stack([np.searchsorted(first, at, "right") - 1, item[e], at - place[e]], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, texts: list[str]):
         """(text number, item number, distance, first word, one past the last word): the best match of every item."""
@@ -187,37 +201,31 @@ class ItemIndex:
         x = raw[keep]
         ends = np.append(first[1:], len(x)) - STEPS - 1
         best: dict[tuple[int, int], tuple] = {}
-        c = self.candidates(x)
-        text_no = np.searchsorted(first, np.clip(c[:, 0], 0, None), "right") - 1
-        last = None
-        for (start, item), t in zip(c[np.argsort(c[:, 1], kind="stable")].tolist(), text_no[np.argsort(c[:, 1], kind="stable")].tolist()):
-            n, limit = len(self.items[item]), self.limit[item]
-            if last and last[0] == item and last[1] == t and start <= last[2] + max(limit, 1):
-                last[2] = start
+        run = None  # text, item, first and last start that are decided together
+        for t, item, start in self.candidates(x, first).tolist():
+            if run and run[:2] == [t, item] and start <= run[3] + max(self.limit[item], 1):
+                run[3] = start
                 continue
-            if last:
-                self._decide(x, first, ends, last, best)
-            last = [item, t, start, start]
-        if last:
-            self._decide(x, first, ends, last, best)
+            if run:
+                self._decide(x, first, ends, run, best)
+            run = [t, item, start, start]
+        if run:
+            self._decide(x, first, ends, run, best)
         return [(t, i, *v) for (t, i), v in best.items()]
 
     def _decide(self, x, first, ends, run, best):
-        item, t, hi, lo = run
+        text, item, lo, hi = run
         want, limit = self.lists[item], self.limit[item]
-        for text in (t, t + 1):  # a start before its text's first word belongs to the next text
-            if text >= len(first):
-                continue
-            a, b = max(lo - limit, int(first[text])), min(hi + len(want) + limit, int(ends[text]))
-            if b <= a:
-                continue
-            part = x[a:b].tolist()
-            there = set(part)
-            if sum([w in there for w in want]) < len(want) - limit:  # too few of its words are there
-                continue
-            found = nearest(want, part, limit)
-            if found and ((text, item) not in best or found[0] < best[(text, item)][0]):
-                best[(text, item)] = (found[0], a - int(first[text]) + found[1], a - int(first[text]) + found[2])
+        a, b = max(lo - limit, int(first[text])), min(hi + len(want) + limit, int(ends[text]))
+        if b <= a:
+            return
+        part = x[a:b].tolist()
+        there = set(part)
+        if sum([w in there for w in want]) < len(want) - limit:  # too few of its words are there
+            return
+        found = nearest(want, part, limit)
+        if found and ((text, item) not in best or found[0] < best[(text, item)][0]):
+            best[(text, item)] = (found[0], a - int(first[text]) + found[1], a - int(first[text]) + found[2])
 
 
 def nearest(item: list[int], text: list[int], limit: int) -> tuple[int, int, int] | None:
@@ -243,6 +251,30 @@ def nearest(item: list[int], text: list[int], limit: int) -> tuple[int, int, int
     return best
 
 
+def common_words(benchmark: DataFrame) -> frozenset[str]:
+    """Words that more than one in fifty items of the benchmark hold: at most fifty times the words of an item."""
+    n = benchmark.count()
+
+    def work(batch):
+        return {"w": [w for t in batch.column(0).to_pylist() for w in set(words_of(t))]}
+
+    words = map_arrow(benchmark.select(whole_text("text").alias("text")), work, "w string")
+    return frozenset(r["w"] for r in words.groupBy("w").count().filter(F.col("count") > max(1, n // 50)).toLocalIterator())
+
+
+def _blocks(benchmark: DataFrame):
+    """The items in blocks of bounded number and size."""
+    block, size = [], 0
+    for row in benchmark.select("item_id", "text").toLocalIterator():
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"] or "")
+        if len(block) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.99) -> DataFrame:
     """(doc_id, item_id, distance int, n_words int, first_word int, end_word int): one row for every document and item of
     which the document holds a stretch of words within (1 - similarity) * n_words edits, with the best stretch (word
@@ -252,36 +284,86 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     Null or empty texts and items without words match nothing; null ids are returned as they are; repeated documents and
     items are reported each. Other columns are not read.
     """
-    functions = n_functions(similarity, target_recall)
     src = docs.select("doc_id", whole_text("text").alias("text"))
     ddl = (f"doc_id {type_of(docs, 'doc_id')}, item_id {type_of(benchmark, 'item_id')}, distance int, n_words int, "
            "first_word int, end_word int")
-    parts, block = [], []
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        if len(block) == BLOCK_ITEMS:
-            parts.append(_scan(src, block, similarity, functions, ddl))
-            block = []
-    if block or not parts:
-        parts.append(_scan(src, block, similarity, functions, ddl))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    common, out = common_words(benchmark), docs.sparkSession.createDataFrame([], ddl)
+    for block in _blocks(benchmark):
+        out = out.unionByName(_scan(src, _shared(src, block, similarity, target_recall, common), ddl))
     return out
 
 
-def _scan(src: DataFrame, items: list[tuple], similarity: float, functions: int, ddl: str) -> DataFrame:
-    shared = src.sparkSession.sparkContext.broadcast(items)
-    made = []
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.99) -> DataFrame:
+    """The rows of `docs` whose own text holds no stretch that `contaminated` would report, all columns as they are.
 
-    def work(batch):
+    A row is judged by its text alone: null and repeated ids change nothing, rows with equal texts stay or go together.
+    Rows never leave their partition; what is left behind one block of items is written before the next block.
+    """
+    import pyarrow as pa
+
+    common, left, at = common_words(benchmark), docs, docs.columns.index("text")
+    for k, block in enumerate(_blocks(benchmark)):
+        index = _shared(docs, block, similarity, target_recall, common)
+
+        def run(batches, index=index):
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    clean = [True] * part.num_rows
+                    for t, *_ in index().matches([t or "" for t in part.column(at).to_pylist()]):
+                        clean[t] = False
+                    yield part.filter(pa.array(clean))
+
+        left = (kept(left) if k else left).mapInArrow(run, docs.schema)
+    return left
+
+
+def _shared(docs: DataFrame, items: list[tuple], similarity: float, target_recall: float, common: frozenset[str]):
+    """A function that gives the tasks the index of a broadcast block."""
+    shared = docs.sparkSession.sparkContext.broadcast((items, common))
+    functions = n_functions(similarity, target_recall)
+
+    def index(made=[]):  # noqa: B006, one for each task
         if not made:
-            made.append(ItemIndex(shared.value, similarity, functions).ready())
-        index = made[0]
-        found = index.matches(batch.column(1).to_pylist())
+            made.append(ItemIndex(shared.value[0], similarity, functions, common=shared.value[1]).ready())
+        return made[0]
+
+    return index
+
+
+def _scan(src: DataFrame, index, ddl: str) -> DataFrame:
+    def work(batch):
         import pyarrow as pa
-        return {"doc_id": batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), "item_id": [index.ids[f[1]] for f in found],
-                "distance": [f[2] for f in found], "n_words": [len(index.items[f[1]]) for f in found],
+        items = index()
+        found = items.matches(batch.column(1).to_pylist())
+        return {"doc_id": batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), "item_id": [items.ids[f[1]] for f in found],
+                "distance": [f[2] for f in found], "n_words": [len(items.items[f[1]]) for f in found],
                 "first_word": [f[3] for f in found], "end_word": [f[4] for f in found]}
 
     return map_arrow(src, work, ddl)
+
+
+def agreement(words: int, similarity: float, samples: int, tries: int = 2000, seed: int = 3) -> float:
+    """How often `samples` steps over the whole walk of a window of `words` words emit the same before and after random
+    edits up to the limit: the chance that one hash function finds the window."""
+    import random
+    rnd, hits = random.Random(seed), 0
+    for _ in range(tries):
+        x = [rnd.randrange(1 << 30) for _ in range(words)]
+        y = list(x)
+        for _ in range(int((1 - similarity) * words + 1e-9)):
+            j, kind = rnd.randrange(len(y)), rnd.random()
+            y[j:j + 1] = [rnd.randrange(1 << 30)] if kind < 1 / 3 else [] if kind < 2 / 3 and len(y) > 1 else [y[j], rnd.randrange(1 << 30)]
+        bit = {}
+        steps = set(rnd.sample(range(2 * words), samples))
+        emitted = []
+        for z in (x, y):
+            at, out = 0, []
+            for j in range(2 * words):
+                w = z[at] if at < len(z) else -1
+                if j in steps:
+                    out.append(w)
+                at += bit.setdefault((j, w), rnd.random() < 0.5)
+            emitted.append(out)
+        hits += emitted[0] == emitted[1]
+    return hits / tries
