@@ -63,6 +63,27 @@ def test_only_null_ids(spark):
     assert sorted(r.text for r in X.without_exact_duplicates(df).collect()) == ["a", "b"]
 
 
+def test_many_equal_rows_without_an_id(spark):
+    """They are neither one task nor one array: each partition sends one of them, and the rows stay where they are."""
+    rows = spark.range(0, 300_000, 1, 7).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"),
+                                                F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("text"))
+    got = X.exact_duplicates(rows)
+    assert got.filter("digest = sha2('hot', 256)").groupBy("keep_id", "group_size", "kept").count().orderBy("kept").collect() == [
+        (None, 100_000, False, 99_999), (None, 100_000, True, 1)]
+    spread = got.filter("digest = sha2('hot', 256)").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 3
+    assert X.without_exact_duplicates(rows).groupBy("text").count().filter("count > 1").isEmpty() and X.without_exact_duplicates(rows).count() == 51
+    plan = X.without_exact_duplicates(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_groups_beyond_the_broadcast_bound(spark):
+    rows = [(i % 40 or None, f"text {i % 7}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (1, 8, 1000):
+        assert found(X.exact_duplicates(df, hot=hot)) == plain(rows)
+
+
 def test_empty(spark):
     assert X.exact_duplicates(empty(spark)).count() == 0 and X.without_exact_duplicates(empty(spark)).count() == 0
 
