@@ -1,9 +1,11 @@
 """Near duplicates among converted documents: SimHash fingerprints linked through a Gray-ordered hierarchical index.
 
-Two fingerprints of 64 bits that differ in at most `bits` places agree on one of `bits + 1` blocks. For every block a copy
-of each distinct fingerprint is rotated so that the block leads, and the copies are range-partitioned and sorted by (block,
-Gray rank): equal blocks stand together, and neighbours differ in few bits. A task cuts its sorted run into nodes that do
-not cross a block value. Above the leaves, every `FAN` neighbours share an upper node that holds the bits on which all of
+Two fingerprints of 64 bits that differ in at most `bits` places agree on all but `bits` of their blocks. For every choice of
+that many agreeing blocks a copy of each distinct fingerprint has these blocks in front, and the copies are
+range-partitioned and sorted by (choice, Gray rank): equal blocks stand together, and neighbours differ in few bits. The
+number of blocks grows with the fingerprints, so that few of them share the blocks in front: four (16 bits in front) up to
+some millions, five (25) up to some billions, six (32) beyond. A task cuts its sorted run into nodes that do not cross a
+block value. Above the leaves, every `FAN` neighbours share an upper node that holds the bits on which all of
 them agree; a search adds up the differences on those masked bits on its way down and leaves whole groups once there are
 too many. Range partitions have bounded size whatever the skew: a block value that does not fit in one node, or that a
 partition's border cuts, leaves the task as nodes, and pairs of such nodes are searched in tasks of their own.
@@ -13,10 +15,10 @@ from alternating star joins over the edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, map_arrow, type_of, whole_text
+from .common import free_name, kept, map_arrow, type_of, whole_text
 
 FAN = 8
 NODE = 1024
@@ -148,22 +150,57 @@ class Forest:
                 self.root = up
 
 
-def rotated(fp: Column, slot: int, blocks: int) -> Column:
-    by = slot * 64 // blocks
-    return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
+def n_blocks(count: int, bits: int = 3, share: int = 64) -> int:
+    """The least number of blocks with which a block value holds about `share` of `count` fingerprints or fewer."""
+    return next((b for b in range(bits + 1, bits + 4) if count >> front_bits(_choices(b, bits)[0], b) <= share), bits + 4)
 
 
-def _lead_bits(slot: int, blocks: int) -> int:
-    return (slot + 1) * 64 // blocks - slot * 64 // blocks
+def _choices(blocks: int, bits: int) -> list[tuple[int, ...]]:
+    """Every choice of blocks that may agree."""
+    from itertools import combinations
+    return list(combinations(range(blocks), blocks - bits))
 
 
-def links(fps: DataFrame, bits: int = 3, node: int = NODE) -> DataFrame:
+def _spans(choice: tuple[int, ...], blocks: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of the blocks, those chosen first; block 0 has the highest bits."""
+    order = [*choice, *(b for b in range(blocks) if b not in choice)]
+    return [(64 - (b + 1) * 64 // blocks, (b + 1) * 64 // blocks - b * 64 // blocks) for b in order]
+
+
+def front_bits(choice: tuple[int, ...], blocks: int) -> int:
+    return sum(w for _, w in _spans(choice, blocks)[:len(choice)])
+
+
+def in_front(fp: Column, choice: tuple[int, ...], blocks: int) -> Column:
+    """The bits of the chosen blocks, then the others."""
+    at, out = 64, F.lit(0).cast("long")
+    for low, width in _spans(choice, blocks):
+        at -= width
+        part = F.shiftrightunsigned(fp, low) if low else fp
+        part = part.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else part
+        out = out.bitwiseOR(F.shiftleft(part, at) if at else part)
+    return out
+
+
+def in_place(x, choice: tuple[int, ...], blocks: int):
+    """What `in_front` was made of (numpy, unsigned)."""
+    import numpy as np
+    at, out = 64, np.zeros(len(x), np.uint64)
+    for low, width in _spans(choice, blocks):
+        at -= width
+        out |= (x >> np.uint64(at) & np.uint64((1 << width) - 1)) << np.uint64(low)
+    return out
+
+
+def links(fps: DataFrame, bits: int = 3, node: int = NODE, blocks: int | None = None) -> DataFrame:
     """(a, b) edges, a < b: a graph over the distinct fingerprints of `fps` (fp long) in which two fingerprints are
-    connected exactly if a chain of steps of at most `bits` differing bits connects them. Null fingerprints link to none."""
+    connected exactly if a chain of steps of at most `bits` differing bits connects them. Null fingerprints link to none,
+    equal ones change nothing, no rows give no edges. `blocks` is chosen by the number of rows if not given."""
     import numpy as np
 
-    blocks = bits + 1
-    slots = F.array(*[F.struct(F.lit(s).alias("slot"), rotated(F.col("fp"), s, blocks).alias("x")) for s in range(blocks)])
+    blocks = blocks or n_blocks(fps.count(), bits)
+    choices = _choices(blocks, bits)
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), in_front(F.col("fp"), c, blocks).alias("x")) for s, c in enumerate(choices)])
     rank = F.col("x")
     copies = fps.filter("fp is not null").select(F.explode(slots).alias("c")).select("c.slot", "c.x")
     for s in (1, 2, 4, 8, 16, 32):  # Gray rank: prefix parity from the highest bit
@@ -172,12 +209,13 @@ def links(fps: DataFrame, bits: int = 3, node: int = NODE) -> DataFrame:
     signed = F.col("g").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = copies.withColumn("g", signed).repartitionByRange(width, "slot", "g").sortWithinPartitions("slot", "g").select("slot", "x")
-    lead = np.array([64 - _lead_bits(s, blocks) for s in range(blocks)], np.uint64)
-    turn = np.array([s * 64 // blocks for s in range(blocks)], np.uint64)
+    lead = np.array([64 - front_bits(c, blocks) for c in choices], np.uint64)
 
     def back(x, slot):
-        t = turn[slot]
-        return np.where(t > 0, x >> t | x << (np.uint64(64) - np.maximum(t, np.uint64(1))), x).view(np.int64)
+        out = np.zeros(len(x), np.uint64)
+        for s in np.unique(slot):
+            out[slot == s] = in_place(x[slot == s], choices[s], blocks)
+        return out.view(np.int64)
 
     def search(batches):
         """Edges of complete block values; the rest as nodes (slot, key, values)."""
@@ -273,7 +311,8 @@ def links(fps: DataFrame, bits: int = 3, node: int = NODE) -> DataFrame:
 # --- components -----------------------------------------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of an edge. `edges` (a, b), a and b longs.
+    """(node, root): the smallest node reachable, for every node of an edge. `edges` (a, b), a < b, longs without nulls;
+    repeated edges change nothing, no edges give no rows.
 
     Alternating stars: every node first hands its larger neighbours, then its smaller ones, to the smallest node it sees,
     until nothing changes. Each step is an aggregate with map-side combining and a join back on the node; the hot node of
@@ -315,7 +354,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     id is reached.
     """
     fps = kept(fingerprints(docs, shingle, seed))
-    classes = fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    classes = kept(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select(F.col("fingerprint").alias("fp")), bits))
     in_class = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
@@ -323,3 +362,26 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     best = in_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = in_class.join(best, "root").select(F.col("fingerprint").alias("_fp"), "component_id")
     return fps.join(named, F.col("fingerprint") == F.col("_fp")).select("doc_id", "fingerprint", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of `docs` (doc_id, text) that stand for their group of linked fingerprints, all columns as they are.
+
+    Of a group one row stays: that with the smallest doc_id, null ids last, ties by the SHA-256 of the text. Rows that repeat
+    id and text are one row of a group; which of them stays is open when their other columns differ.
+    """
+    row, text = free_name(docs, "_row"), free_name(docs, "_text")
+    digest = F.sha2(F.encode(whole_text("text"), "UTF-8"), 256)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("text"))
+    found = kept(near_duplicates(docs.select(key.alias("doc_id"), "text"), bits, shingle, seed).groupBy("doc_id", "component_id").count())
+    names = [F.col("doc_id.id").alias(row), F.col("doc_id.text").alias(text)]
+    gone = found.filter("doc_id <> component_id").select(*names)
+    left = docs.withColumn(text, digest)
+    left = left.join(gone.withColumnRenamed(text, text + "g"), left["doc_id"].eqNullSafe(F.col(row)) & (left[text] == F.col(text + "g")), "left_anti")
+    again = found.filter("doc_id = component_id and count > 1").select(*names)
+    if not again.isEmpty():
+        again = again.withColumnRenamed(text, text + "g")
+        known = left["doc_id"].eqNullSafe(F.col(row)) & (left[text] == F.col(text + "g"))
+        one = left.join(again, known, "left_semi").withColumn(row, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(text)))
+        left = left.join(again, known, "left_anti").unionByName(one.filter(F.col(row) == 1).drop(row))
+    return left.drop(text)
