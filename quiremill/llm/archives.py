@@ -2,8 +2,9 @@
 
 A record is one row of text: WARC header, blank line, HTTP header, blank line, payload; the writer's line separator is the
 two line ends that close a record. Equal payloads are stored once: the others are revisit records. Reading gives one
-locally sorted run of index entries for each archive; runs are dealt out by ranges of (URL key, time) and merged there
-with a loser tree, so every URL's captures stand together in the order of time.
+locally sorted run of index entries for each archive; runs are dealt out by ranges of (URL key, time), pieces of runs as they
+are sorted, and merged there with a loser tree, so every URL's captures stand together in the order of time. The number of
+ranges grows with the entries, so a range has a bounded number of them; a record is the most that is held of an archive.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import kept, map_arrow, type_of
 
 CRLF = "\r\n"
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 20_000
+RANGE_ENTRIES = 50_000
 # Fixed value: the profile of revisit records in WARC 1.1.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -41,13 +44,17 @@ def _header(c: Column) -> Column:
     return F.regexp_replace(out, r"[\x00-\x20\x7F]", "%00")
 
 
-def write_archives(files: DataFrame, path: str, min_bytes: int = 100, records_per_file: int = 20_000) -> None:
+def write_archives(files: DataFrame, path: str, min_bytes: int = 100, records_per_file: int | None = None) -> None:
     """Writes gzip-compressed WARC 1.1 archives of `files` (file_id, name, mtime timestamp, content) under `path`.
 
     Each row is one record: a response with its payload, or a revisit of the equal payload with the smallest file_id
     (payloads of at least `min_bytes`; null content is an empty payload). A null name or time is left empty; a row
-    without an id is always a response. Rows that repeat an id are written each. Other columns are not read.
+    without an id is always a response. Rows that repeat an id are written each. Other columns are not read. An archive
+    has at most ARCHIVE_RECORDS records, and of payloads of average size no more than ARCHIVE_BYTES.
     """
+    if records_per_file is None:
+        mean = files.agg(F.avg(F.octet_length(payload_of(F.col("content"))))).first()[0] or 0
+        records_per_file = max(1, min(ARCHIVE_RECORDS, int(ARCHIVE_BYTES / (mean + 500))))
     r = record_roles(files.select("file_id", "name", "mtime", "content"), min_bytes)
     revisit = F.col("refers_to").isNotNull()
     rid = lambda c: F.concat(F.lit("<urn:file:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
@@ -77,18 +84,51 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (rest or "/")
 
 
-def records(data: bytes):
-    """(offset, headers, block) of every record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        headers = dict(h.split(": ", 1) for h in data[at:end].decode("utf-8", "replace").split(CRLF)[1:])
+def records(parts):
+    """(offset, headers, block) of every record of an archive whose uncompressed bytes come in parts; one record and one
+    part are held at a time."""
+    parts = iter(parts)
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        part = next(parts, None)
+        if part is not None:
+            held.extend(part)
+        return part is not None
+
+    while held or more():
+        searched = 0
+        while (end := held.find(b"\r\n\r\n", searched)) < 0:
+            searched = max(0, len(held) - 3)
+            if not more():
+                if not held:
+                    return
+                raise ValueError(f"the record at {at} has no end of its header")
+        headers = dict(h.split(": ", 1) for h in held[:end].decode("utf-8", "replace").split(CRLF)[1:])
         begin = end + 4
         stop = begin + int(headers["Content-Length"])
-        yield at, headers, data[begin:stop]
-        if data[stop:stop + 4] != b"\r\n\r\n":
+        while len(held) < stop + 4 and more():
+            pass
+        if held[stop:stop + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at {at} does not end where its length says")
-        at = stop + 4
+        yield at, headers, bytes(held[begin:stop])
+        del held[:stop + 4]
+        at += stop + 4
+
+
+def unpacked(packed, piece: int = 1 << 20):
+    """The uncompressed bytes of gzip members in parts of about `piece` bytes."""
+    import zlib
+    rest = memoryview(packed)
+    while len(rest):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            data = z.decompress(rest, piece)
+            if not data and not z.unconsumed_tail and not z.eof:
+                raise ValueError("the archive is cut off")
+            yield data
+            rest = memoryview(z.unconsumed_tail)
+        rest = memoryview(z.unused_data)
 
 
 ENTRY = ("url_key string, captured string, {id}, name string, record_type string, payload_bytes long, payload_digest string, "
@@ -99,7 +139,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
     """Index entries of the archives under `path`, one for each record; each archive's entries are a sorted run.
 
     For a response, bytes and digest are those of the payload that was read; a stored digest that differs fails. A revisit
-    has those of its header.
+    has those of its header. A record without an id has a null file_id; equal records are an entry each; a folder without
+    archives has no entries. A task holds one compressed archive, one of its records and its entries.
     """
     import pyarrow as pa
 
@@ -111,16 +152,10 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
 
     def work(batch):
         import hashlib
-        import zlib
         rows = []
         for name, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
             name, run = name.rsplit("/", 1)[-1], []
-            data, packed = bytearray(), memoryview(packed.as_buffer())
-            while len(packed):  # gzip members
-                z = zlib.decompressobj(31)
-                data += z.decompress(packed)
-                packed = memoryview(z.unused_data)
-            for at, h, block in records(bytes(data)):
+            for at, h, block in records(unpacked(packed.as_buffer())):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                 n = int(head.rpartition(b"Content-Length: ")[2])
@@ -183,27 +218,30 @@ class LoserTree:
             self._play(i)
 
 
-def capture_history(entries: DataFrame) -> DataFrame:
+def capture_history(entries: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """All index entries in one global order of (url_key, captured, file_id): the partitions are ranges of it, in order.
 
-    The runs' entries are dealt out by range, so a host or URL that fills a third of the index is still spread; in a range
-    the pieces of the runs are merged by a loser tree.
+    The runs' entries are dealt out by range, about `range_entries` to each, so a host or URL that fills a third of the index
+    is still spread; equal entries are told apart by archive and offset. A run's piece of a range arrives as it was sorted
+    (a recomputed one that does not is put in order), and the pieces are merged by a loser tree. Null ids come first among
+    equal keys and times; no entries give no rows.
     """
     import pyarrow as pa
 
     entries = kept(entries)
-    width = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = (entries.repartitionByRange(width, "url_key", "captured", "file_id", "archive", "offset")
-              .sortWithinPartitions("archive", "url_key", "captured", "file_id", "offset"))
+    width = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // range_entries))
+    pieces = entries.repartitionByRange(width, "url_key", "captured", "file_id", "archive", "offset")
 
     def merge(batches):
         runs: dict[str, list] = {}
         schema = None
         for b in batches:
             schema = b.schema
-            rows = list(zip(*[c.to_pylist() for c in b.columns])) if b.num_rows else []
-            for r in rows:
+            for r in zip(*[c.to_pylist() for c in b.columns]):
                 runs.setdefault(r[8], []).append(r)
+        for run in runs.values():
+            if any(_order(x) > _order(y) for x, y in zip(run, run[1:])):
+                run.sort(key=_order)
         out = []
         for r in LoserTree(list(runs.values()), _order):
             out.append(r)
