@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     At most `max_rows` labelled rows are learnt from, those with the smallest hash of doc_id, so one task can pass over
     their features `epochs` times; the whole table is scored by what it learns. Null labels and null ids are not learnt
-    from; rows that repeat an id are learnt from repeatedly. Without any labelled row every score is 0.5.
+    from; rows that repeat an id are learnt from repeatedly, but at most `max_rows` rows in all, by the hashes of id and
+    text. Without any labelled row every score is 0.5.
     """
     import numpy as np
     import pyarrow as pa
@@ -174,14 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     known = (labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna()
              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y").limit(max_rows))
     texts = docs.select("doc_id", whole_text("text").alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select(F.xxhash64(F.col("doc_id").cast("string")).alias("k"), "y", "text")
+    rows = texts.join(F.broadcast(known), "doc_id").select(F.xxhash64(F.col("doc_id").cast("string")).alias("k"), "y", "text",
+                                                                    F.xxhash64("text").alias("h"))
 
     def to_features(batch):
         made = [features(t, bits) for t in batch.column(2).to_pylist()]
-        return {"k": batch.column(0), "y": batch.column(1), "at": pa.array([a for a, _ in made], pa.list_(pa.int32())),
+        return {"k": batch.column(0), "y": batch.column(1), "h": batch.column(3), "at": pa.array([a for a, _ in made], pa.list_(pa.int32())),
                 "v": pa.array([v for _, v in made], pa.list_(pa.float32()))}
 
-    found = map_arrow(rows, to_features, "k long, y int, at array<int>, v array<float>")
+    found = map_arrow(rows, to_features, "k long, y int, h long, at array<int>, v array<float>")
+    found = found.orderBy("k", "y", "h").limit(max_rows).select("k", "y", "at", "v")  # in one partition
 
     def learn(batches):
         seen = []
@@ -198,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         w = ftrl.weights(np.arange((1 << bits) + 1))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    w = np.frombuffer(found.repartition(1).mapInArrow(learn, "w binary").first()["w"], np.float32)
+    w = np.frombuffer(found.coalesce(1).mapInArrow(learn, "w binary").first()["w"], np.float32)
     return Model(w[:-1], float(w[-1]), bits)
 
 

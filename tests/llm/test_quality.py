@@ -25,6 +25,34 @@ def test_held_out_accuracy(spark):
     assert again == score
 
 
+def test_rows_that_repeat_a_labelled_id_are_bounded(spark):
+    """A third of all rows under one labelled id: no more than `max_rows` reach the learner, whatever the layout."""
+    rows = [(7 if i % 3 == 0 else i, f"text {i % 90} of the document") for i in range(30_000)]
+    known = spark.createDataFrame([(7, 1), (8, 0), (10, 0)], "doc_id long, quality int")
+    learnt = []
+    for parts in (2, 6):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        m = Q.fit(docs, known, max_rows=50, epochs=1)
+        learnt.append(m.weights.tobytes())
+    assert learnt[0] == learnt[1]
+    assert Q.fit(docs, known, max_rows=10**6, epochs=1).weights.tobytes() != learnt[0]
+
+
+def test_query(spark):
+    """op10 against the dot product of every text's features with the fitted weights, text by text."""
+    from quiremill.llm import queries
+    folder = "/root/testdata/sf0.001"
+    m = queries.quality_model(spark, folder)
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = queries.op10_quality(spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        index, values = Q.features(text[r.doc_id], m.bits)
+        score = 1 / (1 + np.exp(-np.clip(m.intercept + float(m.weights[index].astype(float) @ values), -35, 35)))
+        assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_a_block_gives_the_dot_product_of_the_features():
     rng = np.random.default_rng(1)
     m = Q.Model(rng.normal(size=1 << 10).astype(np.float32), 0.25, 10)
