@@ -141,7 +141,7 @@ def perfect_hashes(terms: DataFrame, shard_terms: int = SHARD_TERMS, of=hash_of)
     import pandas as pd
 
     langs = terms.groupBy("lang").agg(F.ceil(F.count("*") / shard_terms).cast("int").alias("n_shards"))
-    dealt = terms.select("lang", "term").join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("n_shards")).cast("int"))
+    dealt = terms.select("lang", "term").join(F.broadcast(langs), "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("n_shards")).cast("int"))
 
     def build(part):
         sizes, bits, blob, ends, rest = PerfectHash.build([t.encode() for t in part["term"]], of)
@@ -310,7 +310,8 @@ def category_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: in
     descending, item ascending in UTF-8. Null text, language or category count as empty ones; repeated rows count each; a
     category without terms has its pairs, one alone in its language has none; no rows give no rows. Other columns are not read.
 
-    One number for each (language, category) goes to the driver and the tasks; the pairs of categories are the result.
+    One row for each (language, category) goes to the driver and the tasks; the pairs of categories are the result, so what
+    is broadcast is about the root of it.
     """
     terms = kept(frequent_terms(docs, min_docs))
     hashes = kept(perfect_hashes(terms, shard_terms))
@@ -324,7 +325,7 @@ def category_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: in
                       (F.row_number().over(Window.partitionBy("lang").orderBy("category")) - 1).alias("no")))
     groups = kept(groups)
     by_slot = terms_by_slot(hashes)
-    shares = counts.join(groups, ["lang", "category"]).select(
+    shares = counts.join(F.broadcast(groups), ["lang", "category"]).select(
         "lang", "category", "no", "shard", "slot", "n", "v", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
 
     far = _distances(shares, [tuple(r) for r in groups.select("lang", "no", "zero").collect()])
@@ -336,7 +337,7 @@ def category_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: in
                      (F.col("v") * F.abs(F.col("p0") - F.col("q0")) + F.coalesce("part", F.lit(0))).alias("value")))
 
     whole = counts.groupBy("lang").agg(F.sum("n").alias("all")).join(sizes, "lang")
-    language = (counts.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n")).join(whole, "lang")
+    language = (counts.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n")).join(F.broadcast(whole), "lang")
                 .select("lang", "shard", "slot", _share(F.col("n"), F.col("all"), F.col("v")).alias("q"))
                 .join(by_slot, ["lang", "shard", "slot"]))
     above = (shares.join(language, ["lang", "shard", "slot"]).filter("p > q")
