@@ -48,11 +48,29 @@ def test_stages_take_awkward_tables(spark, stage):
         assert out.count() <= docs.count()
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows are judged by their own texts: a row without an id goes if it holds a passage, one that shares an id with such a row stays."""
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    clean = ["A text of its own that shares no passage with anything else, " + " ".join(f"{c}{i}word" for i in range(60)) for c in "abcdef"]
+    rows = [(None, bench, "x1"), (1, bench + " and more of the same", "x2"), (1, clean[0], "k1"), (None, clean[1], "k2"), (None, clean[1], "k2"),
+            (2, clean[2], "k3"), (2, clean[3], "k4"), (3, clean[2], "y"), (None, None, "z"), (None, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    _, exact, near, benchmark, encode = (f for _, f in corpus_pipeline.STAGES)
+    left = exact(spark, docs, FOLDER)
+    assert sorted(r.lang for r in left.collect()) == ["k1", "k2", "k3", "k4", "x1", "x2", "z"]
+    assert sorted(r.lang for r in benchmark(spark, left, FOLDER).collect()) == ["k1", "k2", "k3", "k4", "z"]
+    assert sorted(r.lang for r in benchmark(spark, docs, FOLDER).collect()) == ["k1", "k2", "k2", "k3", "k4", "y", "z", "z"]
+    assert sorted(r.lang for r in near(spark, docs, FOLDER).collect() if r.lang[0] in "kyz") == ["k1", "k2", "k3", "k4", "z"]
+    kept = near(spark, left, FOLDER)
+    assert {r.lang for r in kept.collect()} >= {"k1", "k2", "k3", "k4", "z"}
+    assert encode(spark, docs, FOLDER).count() == len(rows)
+
+
 def test_registry():
     from __spark_entry__ import oracle_sql
     from __spark_entry__ import queries as registered
     names = set(registered())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(oracle_sql()) <= names
     assert [n.split("_")[0] for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "simhash", "benchmark", "byte"]
