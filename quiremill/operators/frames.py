@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import ordered
 from ..functions.columns import ext_of, js_round
@@ -113,6 +114,46 @@ def psnr(a: Column, b: Column, width: Column, height: Column, border: int) -> Co
     return F.when(mse == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(255.0 * 255.0) / mse))
 
 
+def structural_similarity(pairs: DataFrame, a: str, b: str, width: int, height: int, border: int = 0, window: int = 7, peak: float = 255.0,
+                          out: str = "ssim") -> DataFrame:
+    """`pairs` with the mean structural similarity of the planes `a` and `b` (arrays of width * height values, row by row):
+    luminance, contrast and structure in every window of window x window pixels inside the border, all pixels of a window
+    alike, sample variances. Null for a missing plane, one of another size, or one with no room for a window.
+
+    The window sums come from running sums over rows and columns, so the work is linear in the pixels whatever the window.
+    """
+    schema = StructType([*pairs.schema.fields, StructField(out, DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            planes = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (a, b)]
+            made = [_similarity(x, y, width, height, border, window, peak) for x, y in zip(*planes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, out])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _similarity(x, y, width: int, height: int, border: int, window: int, peak: float) -> float | None:
+    import numpy as np
+
+    if x is None or y is None or len(x) != width * height or len(y) != width * height or min(width, height) - 2 * border < window:
+        return None
+    p, q = (np.array(v, float).reshape(height, width)[border:height - border, border:width - border] for v in (x, y))
+    n = window * window
+
+    def mean(m):
+        total = np.zeros((m.shape[0] + 1, m.shape[1] + 1))
+        total[1:, 1:] = m.cumsum(0).cumsum(1)
+        return (total[window:, window:] - total[:-window, window:] - total[window:, :-window] + total[:-window, :-window]) / n
+
+    up, uq = mean(p), mean(q)
+    vp, vq, both = (n / (n - 1) * (mean(m) - u) for m, u in ((p * p, up * up), (q * q, uq * uq), (p * q, up * uq)))
+    c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    return float(((2 * up * uq + c1) * (2 * both + c2) / ((up * up + uq * uq + c1) * (vp + vq + c2))).mean())
+
+
 def block_means(plane: Column, width: int, height: int, factor: int) -> Column:
     """Plane reduced by averaging factor x factor blocks (stands in for an antialiased reduction)."""
     w, h = width // factor, height // factor

@@ -1,14 +1,12 @@
 """G: tiles, colours, frames, quality."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import frames as G
 from ..sources import views as V
-from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 from ..streaming import live
+from ..streaming.replay import replay
 from .registry import query
 
 _TILES = {"f_img": "SELECT p_partkey AS id, p_size * 20 AS w, floor(p_retailprice / 3)::INT AS h, CASE WHEN p_partkey % 2 = 0 THEN 128 ELSE 192 END AS t FROM part",
@@ -80,16 +78,10 @@ def reuse_results(spark, d):
 @query("stream_frame_dedupe", """SELECT stream, frame_no, same, max(CASE WHEN NOT same THEN frame_no END) OVER w AS result_of, (sum(same::INT) OVER w)::BIGINT AS skipped FROM f_same
 WINDOW w AS (PARTITION BY stream ORDER BY frame_no)""", _SAME)
 def stream_frame_dedupe(spark, d):
-    """The live form over all frames: written as files, read as a stream until nothing is left."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/frames-{uuid.uuid4().hex}"
-    spark.conf.set(*live.ROCKSDB)
-    f = frames(spark, d).select(F.col("stream").cast("long").alias("stream"), "frame_no", "px")
-    f.write.parquet(f"{folder}/in")
-    shown = live.stream_frame_dedupe(spark.readStream.schema(f.schema).parquet(f"{folder}/in"))
-    (shown.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-     .start(f"{folder}/out").awaitTermination())
-    return spark.read.parquet(f"{folder}/out")
+    """The live form over all frames of 25 a second, fed as they would arrive."""
+    f = frames(spark, d).select(F.col("stream").cast("long").alias("stream"), "frame_no", F.col("frame_no").cast("long").alias("seq"),
+                                F.timestamp_millis(F.col("frame_no") * 40).alias("ts"), "px")
+    return replay(f, lambda s, late, quiet: live.stream_frame_dedupe(s, f"{late} milliseconds", quiet_ms=quiet))
 
 
 @query("frame_chunks", """SELECT stream, (frame_no - 1) // c AS chunk_no, min((frame_no - 1) // c * c / 30.0::DOUBLE) AS start_sec, count(*) AS n_frames FROM (SELECT stream, frame_no,
@@ -133,6 +125,19 @@ def _(spark, d):
     return q.select("condition", "method", "n", F.round("psnr", 6).alias("psnr"), F.round("consistency", 6).alias("consistency"))
 
 
+_SSIM = _QUAL | {"f_win": """SELECT vec_id, oy, ox, avg(p) AS up, avg(q) AS uq, avg(p * p) AS pp, avg(q * q) AS qq, avg(p * q) AS pq
+   FROM (SELECT a.vec_id, oy, ox, a.y[(oy + i // 7) * 8 + ox + i % 7 + 1] AS p, b.y[(oy + i // 7) * 8 + ox + i % 7 + 1] AS q FROM f_gray a JOIN f_gray b ON b.vec_id = a.vec_id + 1,
+     (SELECT unnest(range(49)) AS i), (SELECT unnest([0, 1]) AS oy), (SELECT unnest([0, 1]) AS ox)) GROUP BY vec_id, oy, ox"""}
+
+
+@query("structural_similarity", """SELECT vec_id, round(avg((2 * up * uq + 6.5025::DOUBLE) * (2 * 49 / 48.0::DOUBLE * (pq - up * uq) + 58.5225::DOUBLE)
+  / ((up * up + uq * uq + 6.5025::DOUBLE) * (49 / 48.0::DOUBLE * (pp - up * up) + 49 / 48.0::DOUBLE * (qq - uq * uq) + 58.5225::DOUBLE))), 6) AS ssim FROM f_win GROUP BY vec_id""", _SSIM)
+def _(spark, d):
+    g = V.bytes_of(spark, d).select("vec_id", G.luma(F.col("px"), 1).alias("a"))
+    pairs = g.join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return G.structural_similarity(pairs, "a", "b", 8, 8).select("vec_id", F.round("ssim", 6).alias("ssim"))
+
+
 @query("residual_shrink", """SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CAST(floor(sign(v::DOUBLE) * greatest(abs(v::DOUBLE) - 0.015::DOUBLE, 0) * 1000000)::BIGINT AS VARCHAR)), ',') AS residual FROM embeddings""")
 def _(spark, d):
     r = G.residual_shrink(F.transform("embedding", lambda v: v.cast("double")), F.lit(0.015))

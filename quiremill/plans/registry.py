@@ -12,9 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
+def query(name: str, sql: str | None = None, views: dict[str, str] | None = None, like: str | None = None):
+    """`like`: the query whose statement holds for this one too."""
     def add(fn):
         QUERIES[name] = fn
+        if like is not None:
+            ORACLES[name] = ORACLES[like]
         if sql is not None:
             ORACLES[name] = with_views(sql, views)
         return fn

@@ -6,6 +6,8 @@ from ..operators import convert as U
 from ..sources import views as V
 from ..sources.tables import table
 from ..streaming import batch as H
+from ..streaming import live as L
+from ..streaming.replay import replay
 from .registry import query
 
 
@@ -89,6 +91,37 @@ def _(spark, d):
     return H.stage_progress(V.logs(spark, d)).withColumn("progress", F.round("progress", 9))
 
 
+# The live forms over the same tables, fed as they would arrive: slice by slice, out of order within two slices.
+
+@query("live_progress_latest", like="progress_latest")
+def _(spark, d):
+    return L.latest(replay(V.progress(spark, d), lambda s, late, quiet: L.progress_latest(s, f"{late} milliseconds", quiet)), "path")
+
+
+@query("live_job_status", like="job_status")
+def _(spark, d):
+    events = V.logs(spark, d).selectExpr("job", "seq", "ts", f"{_STATUS} as status")
+    last = L.latest(replay(events, lambda s, late, quiet: L.job_status(s, f"{late} milliseconds", quiet)), "job")
+    return last.withColumn("since", F.col("since").cast(events.schema["ts"].dataType))
+
+
+@query("live_throttled_bytes", like="throttled_bytes")
+def _(spark, d):
+    return replay(V.progress(spark, d), lambda s, late, quiet: L.throttled_bytes(s, 250, f"{late} milliseconds", quiet))
+
+
+@query("live_retry_state", like="retry_state")
+def _(spark, d):
+    events = V.logs(spark, d).selectExpr("job", "seq", "ts", f"{_KIND} as kind")
+    return L.latest(replay(events, lambda s, late, quiet: L.retry_state(s, 3, f"{late} milliseconds", quiet_ms=quiet)), "job")
+
+
+@query("live_stage_progress", like="stage_progress")
+def _(spark, d):
+    told = replay(V.logs(spark, d), lambda s, late, quiet: L.stage_progress(s, f"{late} milliseconds", quiet_ms=quiet))
+    return told.withColumn("progress", F.round("progress", 9))
+
+
 def _strict_text(name, content, target):
     if bytes(content[:2]) == b"\xff\xd8":
         return U.Failure("password_needed", name)
@@ -126,3 +159,13 @@ def _(spark, d):
     docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.expr(_TABLES_JSON).alias("tables"))
     t = U.tables_of(docs)
     return t.select("doc_id", "page", "row_no", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("∅"))), "¦").alias("cells"))
+
+
+@query("tables_of_sql", like="tables_of")
+def _(spark, d):
+    """The same for SQL users: the table function, a document's rows laterally beside it."""
+    view = "documents_with_tables"
+    table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.expr(_TABLES_JSON).alias("tables")).createOrReplaceTempView(view)
+    spark.udtf.register("tables_of", U.tables_of_udtf())
+    t = spark.sql(f"SELECT d.doc_id, t.* FROM {view} d, LATERAL tables_of(d.tables) t")
+    return t.select("doc_id", "page", "row_no", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("∅"))), "¦").alias("cells"))

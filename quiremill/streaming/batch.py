@@ -40,8 +40,9 @@ def throttled_bytes(chunks: DataFrame, window_ms: int = 250, width: float | None
            .groupBy("path", "win").agg(F.sum("loaded").alias("_b")))
     per = ordered.cut(per)
     run = ordered.running(per, ["path"], "win", {"loaded": ("sum", F.col("_b"))}, width=width or ordered.BUCKET)
-    last = per.groupBy("path").agg(F.max("win").alias("_last"))
-    return run.join(last, "path").select("path", "win", "loaded", (F.col("win") == F.col("_last")).alias("final"))
+    last = per.groupBy(F.col("path").alias("_path")).agg(F.max("win").alias("_last"))
+    return (run.join(last, F.col("path").eqNullSafe(F.col("_path")))
+            .select("path", "win", "loaded", (F.col("win") == F.col("_last")).alias("final")))
 
 
 def stall_limit(phase: Column, percent: Column, size_mb: Column) -> Column:

@@ -96,3 +96,31 @@ def test_psnr(spark):
 def test_eta(spark):
     df = spark.createDataFrame([(0.2,), (59.4,), (61.0,), (5400.0,), (None,)], "s double")
     assert [r.t for r in df.select(G.eta_label(F.col("s")).alias("t")).collect()] == [" · 약 1초 남음", " · 약 59초 남음", " · 약 1분 남음", " · 약 1.5시간 남음", ""]
+
+
+def test_structural_similarity_window_by_window(spark):
+    import math
+    import random
+    rng = random.Random(5)
+    w, h, border, size = 14, 11, 1, 5
+    rows = [(0, [float(i % 50) for i in range(w * h)], [float(i % 50) for i in range(w * h)]), (1, None, [1.0] * (w * h)), (2, [1.0], [1.0])]
+    rows += [(k, [rng.random() * 255 for _ in range(w * h)], [rng.random() * 255 for _ in range(w * h)]) for k in range(3, 6)]
+    df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")
+    got = {r.id: r.ssim for r in G.structural_similarity(df, "a", "b", w, h, border, size).collect()}
+
+    def plain(a, b):
+        out = []
+        for y in range(border, h - border - size + 1):
+            for x in range(border, w - border - size + 1):
+                p, q = ([v[(y + j) * w + x + i] for j in range(size) for i in range(size)] for v in (a, b))
+                n = len(p)
+                mp, mq = sum(p) / n, sum(q) / n
+                vp, vq = sum((v - mp) ** 2 for v in p) / (n - 1), sum((v - mq) ** 2 for v in q) / (n - 1)
+                both = sum((s - mp) * (t - mq) for s, t in zip(p, q)) / (n - 1)
+                c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+                out.append((2 * mp * mq + c1) * (2 * both + c2) / ((mp ** 2 + mq ** 2 + c1) * (vp + vq + c2)))
+        return sum(out) / len(out)
+
+    assert got[1] is None and got[2] is None and math.isclose(got[0], 1.0)
+    assert all(math.isclose(got[k], plain(a, b), abs_tol=1e-9) for k, a, b in rows if k >= 3)
+    assert G.structural_similarity(df, "a", "b", 3, 3).filter("ssim is not null").isEmpty()

@@ -1,12 +1,13 @@
 """Live forms against their batch twins: the same rows, fed file by file."""
 
 import datetime
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from quiremill.plans import frame_queries, stream_queries
+from quiremill.plans.queries import QUERIES
 from quiremill.sources import views as V
 from quiremill.streaming import batch, live
 
@@ -41,48 +42,130 @@ def rows(df, cols):
 
 def test_progress_and_status(spark, tmp_path):
     p = V.progress(spark, FOLDER)
-    got = run(spark, live.progress_latest(feed(spark, p, tmp_path, "ts")), "complete")
-    assert rows(got, ["path", "loaded"]) == rows(batch.progress_latest(p), ["path", "loaded"])
+    got = run(spark, live.progress_latest(feed(spark, p, tmp_path, "ts")), "append")
+    assert rows(live.latest(got, "path"), ["path", "loaded"]) == rows(batch.progress_latest(p), ["path", "loaded"])
     s = V.logs(spark, FOLDER).selectExpr("job", "seq", "ts", "event_type as status")
-    got = run(spark, live.job_status(feed(spark, s, tmp_path, "ts")), "complete")
-    assert rows(got, ["job", "status"]) == rows(batch.job_status(s), ["job", "status"])
+    got = run(spark, live.job_status(feed(spark, s, tmp_path, "ts")), "append")
+    assert rows(live.latest(got, "job"), ["job", "status"]) == rows(batch.job_status(s), ["job", "status"])
 
 
-def test_throttled_windows_close_with_the_watermark(spark, tmp_path):
-    p = V.progress(spark, FOLDER)
-    got = run(spark, live.throttled_bytes(feed(spark, p, tmp_path, "ts", 5), "6 hours", "1 minute"), "append")
-    want = {(r.path, r.win): r.loaded for r in batch.throttled_bytes(p, 21_600_000).collect()}
-    mine = got.select("path", (F.unix_seconds("start") / 21600).cast("long").alias("win"), "bytes").collect()
-    assert len(mine) > 0.5 * len(want)
-    totals = {}
-    for r in sorted(mine, key=lambda r: (r.path, r.win)):
-        totals[r.path] = totals.get(r.path, 0) + r.bytes
-        assert totals[r.path] == want[(r.path, r.win)]
-
-
-def test_frames(spark, tmp_path):
-    f = frame_queries.frames(spark, FOLDER).select(F.col("stream").cast("long").alias("stream"), "frame_no", "px")
-    got = run(spark, live.stream_frame_dedupe(feed(spark, f, tmp_path, "frame_no", 4)), "append")
-    want = frame_queries.reuse_results(spark, FOLDER)
-    cols = ["stream", "frame_no", "result_of", "skipped"]
-    assert rows(got, cols) == rows(want, cols)
-
-
-def test_retries(spark, tmp_path):
-    e = V.logs(spark, FOLDER).selectExpr("job", "seq", f"{stream_queries._KIND} as kind").filter("kind is not null")
-    got = run(spark, live.retry_state(feed(spark, e, tmp_path, "seq")), "update")
-    last = got.groupBy("job").agg(F.max_by("attempts", F.struct(F.col("status") != "running", "attempts")).alias("attempts"),
-                                  F.max_by("status", F.struct(F.col("status") != "running", "attempts")).alias("status"))
-    assert rows(last, ["job", "attempts", "status"]) == rows(batch.retry_state(e), ["job", "attempts", "status"])
-
-
-def test_stages(spark, tmp_path):
-    lg = V.logs(spark, FOLDER).select("job", "seq", "line")
-    got = run(spark, live.stage_progress(feed(spark, lg, tmp_path, "seq")), "append")
-    cols = ["job", "seq", "stage", "ignored_page"]
+def test_a_live_query_leaves_the_session_as_it_is(spark):
+    """The live queries are compared in test_oracle; they run in a session of their own."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        cols = ["stream", "frame_no", "result_of", "skipped"]
+        assert rows(QUERIES["stream_frame_dedupe"](spark, FOLDER), cols) == rows(QUERIES["reuse_results"](spark, FOLDER), cols)
+        assert "HDFSBacked" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def shuffled(spark, df, tmp_path, parts=3, seed=5):
+    """`df` as files: rows in no order within a file, every third row a file later; in the end a row that closes everything."""
+    lo, hi = df.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    width = (hi - lo) // parts + 1
+    path = str(tmp_path / uuid.uuid4().hex)
+    rng = random.Random(seed)
+    kinds = df.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    spark.createDataFrame([], kinds).write.parquet(path)
+    rows = df.withColumn("ts", F.col("ts").cast("timestamp")).collect()
+    files = [[] for _ in range(parts + 1)]
+    for r in rows:
+        files[int((r["ts"].replace(tzinfo=datetime.timezone.utc).timestamp() * 1_000_000 - lo) // width) + (rng.random() < 0.33)].append(r)
+    for f in files:
+        rng.shuffle(f)
+        spark.createDataFrame(f, kinds).coalesce(1).write.mode("append").parquet(path)
+    end = datetime.datetime(2100, 1, 1)
+    spark.createDataFrame([tuple(end if c == "ts" else None for c in kinds.names)], kinds).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def fixture(spark, make):
+    """Events of a few jobs over ten days, `make(rng)` gives their values."""
+    rng = random.Random(1)
+    t0 = datetime.datetime(2024, 1, 1)
+    at = sorted(rng.randrange(10 * 86_400) for _ in range(400))
+    return [(rng.choice([1, 1, 1, 2, 3, 4, None]), i, t0 + datetime.timedelta(seconds=s), *make(rng)) for i, s in enumerate(at)]
+
+
+LATE, QUIET = "30 days", 40 * 86_400_000
+
+
+def test_order_of_arrival_does_not_matter_retries(spark, tmp_path):
+    e = spark.createDataFrame(fixture(spark, lambda g: (g.choice(["beat"] * 30 + ["stall"] * 4 + ["error", "done"]),)), "job long, seq long, ts timestamp, kind string")
+    got = live.latest(run(spark, live.retry_state(shuffled(spark, e, tmp_path), late=LATE, quiet_ms=QUIET), "append"), "job")
     key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, batch.retry_state(e).collect()))
+
+
+def test_order_of_arrival_does_not_matter_stages(spark, tmp_path):
+    line = lambda g: (g.choice(["(2/10) Page 2", "(9/10) Page 9", "Ignore page 3", "[3/4] parsing", "[4/4] writing (1/10) Page 1", "frame= 7"]),)
+    lg = spark.createDataFrame(fixture(spark, line), "job long, seq long, ts timestamp, line string")
+    got = run(spark, live.stage_progress(shuffled(spark, lg, tmp_path), late=LATE, quiet_ms=QUIET), "append")
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    cols = ["job", "seq", "stage", "progress", "ignored_page"]
     want = sorted(map(key, batch.stage_progress(lg).select(*cols).collect()))
-    assert sorted(map(key, got.select(*cols).collect())) == want
+    assert sorted(map(key, got.select(*cols).collect())) == want and {w[2] for w in want} == {0, 3, 4}
+
+
+def test_running_bytes_are_those_of_the_finished_table(spark, tmp_path):
+    p = spark.createDataFrame(fixture(spark, lambda g: (g.randrange(1000), None)), "path long, seq long, ts timestamp, loaded long, total long")
+    hours = 6 * 3_600_000
+    got = run(spark, live.throttled_bytes(shuffled(spark, p, tmp_path), hours, LATE, QUIET), "append")
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    want = sorted(map(key, batch.throttled_bytes(p, hours).collect()))
+    assert sorted(map(key, got.collect())) == want and sum(w[0] == -1 for w in want) > 5
+
+
+def test_a_path_that_falls_silent_is_reported_and_begins_anew(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda m: t0 + datetime.timedelta(minutes=m)
+    p = spark.createDataFrame([(1, 0, at(0), 5), (1, 1, at(1), 6), (1, 2, at(300), 7)], "path long, seq long, ts timestamp, loaded long")
+    got = run(spark, live.throttled_bytes(feed(spark, p.unionByName(spark.createDataFrame([(None, None, at(9000), None)], p.schema)), tmp_path, "ts", 4), 1000, "10 seconds"), "append")
+    assert [(r.loaded, r.final) for r in got.orderBy("win").collect()] == [(5, False), (11, True), (7, True)]
+
+
+def state_rows(spark, folder, var):
+    return spark.read.format("statestore").option("stateVarName", var).load(folder).count()
+
+
+@pytest.mark.parametrize("monitor,var", [("progress", "last"), ("status", "last"), ("retry", "kept")])
+def test_silent_keys_leave_the_state(spark, tmp_path, monitor, var):
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda h: t0 + datetime.timedelta(hours=h)
+    rows = [(j, j, at(j % 5), "done", 5, 10) for j in range(40)] + [(99, 99, at(200), "running", 1, 10), (100, 100, at(203), "running", 2, 10)]
+    df = spark.createDataFrame(rows, "job long, seq long, ts timestamp, status string, loaded long, total long")
+    make = {"progress": lambda s: live.progress_latest(s.withColumnRenamed("job", "path")), "status": live.job_status,
+            "retry": lambda s: live.retry_state(s.withColumnRenamed("status", "kind"), slot_ms=60_000)}[monitor]
+    source, folder, sink = (str(tmp_path / x) for x in ("in", "state", "out"))
+    held = []
+    for part in (df.filter("job < 40"), df.filter("job = 99"), df.filter("job = 100")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        q = make(spark.readStream.schema(df.schema).parquet(source)).writeStream.format("parquet").option("checkpointLocation", folder)
+        q.trigger(availableNow=True).start(sink).awaitTermination()
+        held.append(state_rows(spark, folder, var))
+    assert held[-1] == (1 if monitor == "retry" else 2)  # of all keys only those of the last hours
+    got = spark.read.parquet(sink)
+    if monitor == "progress":
+        assert rows_of(live.latest(got, "path")) == rows_of(batch.progress_latest(df.withColumnRenamed("job", "path")))
+    if monitor == "status":
+        assert rows_of(live.latest(got, "job")) == rows_of(batch.job_status(df))
+    if monitor == "retry":
+        assert got.filter("job < 40 and status = 'done'").count() == 40
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_rows_without_a_time_are_left_out_and_ties_go_by_number(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(1, 2, t0, "done"), (1, 1, t0, "stall"), (1, 0, None, "error"), (2, 5, t0, "error"), (2, 5, t0, "error")],
+                              "job long, seq long, ts timestamp, kind string")
+    end = spark.createDataFrame([(None, None, datetime.datetime(2100, 1, 1), None)], e.schema)
+    got = run(spark, live.retry_state(feed(spark, e.unionByName(end), tmp_path, F.col("ts").asc_nulls_first(), 6)), "append")
+    assert rows_of(live.latest(got, "job")) == [(1, 2, "done"), (2, 1, "failed")]
 
 
 def test_stalls_raise_alerts_by_event_time(spark, tmp_path):
@@ -118,3 +201,10 @@ def test_overall_progress(spark):
     df = spark.createDataFrame([("a", 50, 100), ("b", 5, None), ("c", 25, 100)], "path string, loaded long, total long").withColumn("g", F.lit(1))
     assert batch.overall_progress(df, ["g"]).first().part == pytest.approx(0.375)
     assert batch.overall_progress(df.filter("path = 'b'"), ["g"]).first().part is None
+
+
+def test_replay_of_nothing(spark):
+    from quiremill.streaming.replay import replay
+    none = V.logs(spark, FOLDER).selectExpr("job", "seq", "ts", "event_type as kind").filter("false")
+    got = replay(none, lambda s, late, quiet: live.retry_state(s, 3, f"{late} milliseconds", quiet_ms=quiet), slices=1)
+    assert got.collect() == [] and got.columns == ["job", "at_us", "seq", "attempts", "status"]
