@@ -6,11 +6,15 @@ bounded by one printed line, and all of them share the exchange on the line key.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.columns import CJK, HANGUL, WS, half_even, ordered_concat, trim_ws
 from ..functions.ordered import islands
+from ..functions.passes import FIRST, column, per_key, two_means
 from ..rules import glyphs as R
 from ..session import ensure_checkpoint_dir
 
@@ -35,8 +39,25 @@ def synthetic_flag(char_flags: Column, mark: Column) -> Column:
 
 
 def line_text(chars: DataFrame, key: list[str] | None = None, order: str = "ord") -> DataFrame:
+    """Text of every line: the characters `c` in `order`, null ones left out."""
     key = key or LINE
-    return chars.groupBy(*key).agg(ordered_concat("c", order).alias("text"))
+    schema = StructType([*(chars.schema[k] for k in key), StructField("text", StringType())])
+    return per_key(chars.select(*key, order, "c"), key, [order], partial(_joined, keys=len(key)), schema)
+
+
+def _joined(batch, keys: int):
+    """Key columns and the joined text of whole lines. The characters already stand in one buffer: only the places at which
+    a text begins are new."""
+    import numpy as np
+    import pyarrow as pa
+
+    c, begin = batch.column(batch.schema.get_field_index("c")), np.flatnonzero(column(batch, FIRST))
+    if pa.types.is_large_string(c.type):
+        c = c.cast(pa.string())
+    _, offsets, data = c.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[c.offset:c.offset + len(c) + 1]
+    ends = pa.py_buffer(np.append(offsets[begin], offsets[-1]).astype(np.int32))
+    return [*(batch.column(i).take(pa.array(begin)) for i in range(keys)), pa.StringArray.from_buffers(len(begin), ends, data or pa.py_buffer(b""))]
 
 
 def bbox_union(boxes: DataFrame, key: list[str]) -> DataFrame:
@@ -136,12 +157,9 @@ def overprint_dedupe(chars: DataFrame, key: list[str], order: list[str]) -> Data
     """
     centre = (F.col("x0") + F.col("x1")) / 2
     w = Window.partitionBy(*key).orderBy(centre, *order)
-    pc, px0, px1 = (F.lag(c).over(w) for c in ("c", "x0", "x1"))
-    width = F.least(F.col("x1") - F.col("x0"), px1 - px0)
-    twice = (width > 0) & (pc == F.col("c")) & ~_blank("c") & (F.least(F.col("x1"), px1) - F.greatest(F.col("x0"), px0) > 0.5 * width)
     blank = _blank("c")
-    opens = ~(blank & F.coalesce(_blank(pc), F.lit(False)))
-    marked = chars.select("*", F.coalesce(twice, F.lit(False)).alias("_twice"), opens.alias("_opens"), centre.alias("_centre"))
+    opens = ~(blank & F.coalesce(_blank(F.lag("c").over(w)), F.lit(False)))
+    marked = chars.select("*", _drawn_twice(w).alias("_twice"), opens.alias("_opens"), centre.alias("_centre"))
     by = Window.partitionBy(*key).orderBy("_centre", *order)
     marked = marked.select("*", F.max("_twice").over(Window.partitionBy(*key)).alias("overprinted"), F.lead("_opens").over(by).alias("_next"))
     alone = F.col("_opens") & F.coalesce("_next", F.lit(True))
@@ -180,14 +198,62 @@ def merge_row_pieces(chars: DataFrame) -> DataFrame:
     gkey = [*block, "row_key", "group_key"]
     w = Window.partitionBy(*gkey)
     place = grouped.select(*PAGE, "piece_no", F.min("piece_no").over(w).alias("_first"), F.count("*").over(w).alias("_n"))
-    joined = chars.join(place, [*PAGE, "piece_no"], "left").withColumn("_group", F.coalesce("_first", "piece_no"))
-    checked = overprint_dedupe(joined, [*PAGE, "_group"], ["piece_no", "ord"])
-    apart = F.col("overprinted") | (F.coalesce(F.col("_n"), F.lit(1)) == 1)  # stays as drawn
-    line = F.when(apart, F.col("piece_no")).otherwise(F.col("_group"))
-    spot = F.when(~apart, ((F.col("x0") + F.col("x1")) / 2).cast("double"))
-    merged = checked.filter(apart | F.col("keep")).withColumn("line", line).withColumn("_spot", spot).drop("overprinted", "keep")
-    order = Window.partitionBy(*LINE).orderBy("_spot", "piece_no", "ord")
-    return merged.withColumn("ord", F.row_number().over(order)).drop("_spot", "_group", "_first", "_n")
+    joined = chars.join(place.hint("shuffle_hash"), [*PAGE, "piece_no"], "left").withColumns(
+        {"_group": F.coalesce("_first", "piece_no"), "_centre": (F.col("x0") + F.col("x1")) / 2}).drop("_first")
+    key, order = [*PAGE, "_group"], ["_centre", "piece_no", "ord"]
+    marked = joined.withColumn("_twice", _drawn_twice(Window.partitionBy(*key).orderBy(*order))).withColumn("_blank", _blank("c"))
+    kinds = {f.name: f for f in joined.schema}
+    kinds |= {"ord": StructField("ord", LongType()), "line": StructField("line", kinds["piece_no"].dataType)}
+    schema = StructType([StructField(c, kinds[c].dataType) for c in [*[c for c in chars.columns if c != "line"], "line"]])
+    return per_key(marked, key, order, partial(_merged_lines, names=[f.name for f in schema]), schema)
+
+
+def _drawn_twice(w) -> Column:
+    """Whether a character covers more than half of an equal one before it."""
+    pc, px0, px1 = (F.lag(c).over(w) for c in ("c", "x0", "x1"))
+    width = F.least(F.col("x1") - F.col("x0"), px1 - px0)
+    return F.coalesce((width > 0) & (pc == F.col("c")) & ~_blank("c") & (F.least(F.col("x1"), px1) - F.greatest(F.col("x0"), px0) > 0.5 * width), F.lit(False))
+
+
+def _kept_blanks(blank, first, x0, x1):
+    """Which rows stay when blanks are compared with the last blank that stayed. Only runs of touching blanks are walked."""
+    import numpy as np
+    keep = np.ones(len(blank), bool)
+    behind = np.flatnonzero(blank[1:] & blank[:-1] & ~first[1:]) + 1
+    last = -2
+    for i in behind.tolist():
+        if last != i - 1:
+            a0, a1 = x0[i - 1], x1[i - 1]
+        last = i
+        wide = max(a1 - a0, x1[i] - x0[i], 0.1)
+        if min(a1, x1[i]) - max(a0, x0[i]) > 0.3 * wide:
+            keep[i] = False
+        else:
+            a0, a1 = x0[i], x1[i]
+    return keep
+
+
+def _merged_lines(batch, names: list[str]):
+    """Columns of whole groups as merged lines: `line`, and `ord` counted anew."""
+    import numpy as np
+    import pyarrow as pa
+
+    first = column(batch, FIRST).astype(bool)
+    begin = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    n = column(batch, "_n").astype(float)
+    apart = (np.logical_or.reduceat(column(batch, "_twice").astype(bool), begin) | ~(n[begin] > 1))[group]  # stays as drawn
+    piece, place = column(batch, "piece_no"), column(batch, "ord")
+    stay = apart | _kept_blanks(column(batch, "_blank").astype(bool), first, column(batch, "x0").astype(float), column(batch, "x1").astype(float))
+    rows = np.flatnonzero(stay)
+    at = np.arange(batch.num_rows)
+    rows = rows[np.lexsort((np.where(apart, place, at)[rows], np.where(apart, piece, 0)[rows], group[rows]))]
+    line = np.where(apart, piece, column(batch, "_group"))[rows]
+    new = np.concatenate([[True], (group[rows][1:] != group[rows][:-1]) | (line[1:] != line[:-1])]) if len(rows) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    out = batch.take(pa.array(rows))
+    made = {"line": pa.array(line), "ord": pa.array(np.arange(len(rows)) - start + 1)}
+    return [made[c] if c in made else out.column(out.schema.get_field_index(c)) for c in names]
 
 
 def _real_space(w) -> Column:
@@ -199,43 +265,53 @@ def infer_word_spaces(chars: DataFrame, script: str = HANGUL) -> DataFrame:
 
     Gaps beside the script's letters, in units of the font size, are split in two by 2-means (at most
     20 rounds); a blank goes where the gap belongs to the wider kind. Lines with a real blank, too few
-    gaps or evenly spread gaps stay as they are.
+    gaps or evenly spread gaps stay as they are. One window finds the gaps, one pass over whole lines puts the blanks in.
     """
-    line, w = Window.partitionBy(*LINE), Window.partitionBy(*LINE).orderBy("ord")
+    w = Window.partitionBy(*LINE).orderBy("ord")
     nc, nx0, nsize = F.lead("c").over(w), F.lead("x0").over(w), F.lead("size").over(w)
     letter = F.col("c").rlike(f"^{script}") | nc.rlike(f"^{script}")
     size = F.coalesce(F.nullif(F.greatest("size", nsize).cast("double"), F.lit(0.0)), F.lit(1.0))
     gap = F.when(~_blank("c") & ~_blank(nc) & letter, (nx0 - F.col("x1")) / size)
-    able = (F.count("*").over(line) >= 3) & ~_real_space(line) & F.max(F.col("c").rlike(script)).over(line)
-    # The blanks to insert come from a side branch that gathers gaps, and whole characters only where the gap is
-    # clearly above the line's smallest (no other can exceed the limit). The characters themselves pass by unsorted.
-    marked = chars.select("*", F.when(able, gap).alias("_gap")).withColumn("_low", F.min("_gap").over(line)).filter("_gap is not null")
-    rest = [c for c in chars.columns if c not in LINE]
-    wide = F.when(F.col("_gap") > F.col("_low") + 0.09, F.struct("_gap", *rest))
-    gaps = marked.groupBy(*LINE).agg(F.array_sort(F.collect_list("_gap")).alias("_v"), F.collect_list(wide).alias("_w")).filter(F.size("_v") >= 2)
-    lo, hi = F.get(F.col("_v"), F.lit(0)), F.element_at("_v", -1)
-    gaps = gaps.filter(hi - lo >= 0.15)
-
-    def mean(a):
-        return F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), F.size(a))
-
-    def step(acc, _):
-        t = (acc["c1"] + acc["c2"]) / 2
-        low, high = F.filter("_v", lambda v: v <= t), F.filter("_v", lambda v: v > t)
-        c1, c2 = mean(low), mean(high)  # null for an empty side, which ends the search
-        moved = F.struct(c1.alias("c1"), c2.alias("c2"), ((c1 == acc["c1"]) & (c2 == acc["c2"])).alias("done"))
-        return F.when(F.coalesce(acc["done"], F.lit(True)), acc).otherwise(moved)
-
-    fit = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(lo.alias("c1"), hi.alias("c2"), F.lit(False).alias("done")), step)
-    k = F.col("_k")
-    limits = (gaps.select(*LINE, "_w", fit.alias("_k")).filter(k["c2"] - k["c1"] >= 0.15)
-              .select(*LINE, "_w", F.greatest((k["c1"] + k["c2"]) / 2, k["c1"] + 0.1).alias("_t")))
-    behind = limits.select(*LINE, F.inline(F.filter("_w", lambda a: a["_gap"] > F.col("_t"))))
-    width = F.col("_gap") * F.coalesce(F.nullif(F.col("size").cast("double"), F.lit(0.0)), F.lit(1.0))
-    put = {"c": F.lit(" "), "x0": F.col("x1"), "x1": (F.col("x1") + width).cast(chars.schema["x1"].dataType), "syn": F.lit(True),
-           "ord": F.col("ord") * 2 + 1}
-    blanks = behind.select(*[put.get(c, F.col(c)).alias(c) for c in chars.columns])
-    return chars.withColumn("ord", F.col("ord") * 2).unionByName(blanks)
+    width = gap * F.coalesce(F.nullif(F.col("size").cast("double"), F.lit(0.0)), F.lit(1.0))
+    marked = chars.select("*", gap.alias("_gap"), ((F.col("c") == " ") & ~F.col("syn")).alias("_real"), F.col("c").rlike(script).alias("_script"),
+                          (F.col("x1") + width).cast(chars.schema["x1"].dataType).alias("_x1"))
+    return per_key(marked, LINE, ["ord"], partial(_put_blanks, names=chars.columns), chars.schema)
+
+
+def _put_blanks(batch, names: list[str]):
+    """Columns of whole lines with the blanks put in; `ord` doubled to make room."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    begin, gap = np.flatnonzero(column(batch, FIRST)), column(batch, "_gap").astype(float)
+    n = np.diff(np.append(begin, batch.num_rows))
+    some = lambda name: np.logical_or.reduceat(column(batch, name).astype(bool), begin)
+    line = np.repeat(np.arange(len(begin)), n)
+    put = np.zeros(batch.num_rows, bool)
+    at = np.flatnonzero(((n >= 3) & ~some("_real") & some("_script"))[line] & ~np.isnan(gap))
+    if len(at):
+        order = at[np.lexsort((gap[at], line[at]))]
+        v, of = gap[order], line[order]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        last = np.append(first[1:], len(of)) - 1
+        wide = (last > first) & (v[last] - v[first] >= 0.15)
+        inside = np.repeat(wide, last - first + 1)
+        v, of = v[inside], of[inside]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
+        c1, c2 = two_means(v, first)
+        limit = np.full(len(begin), np.inf)
+        limit[of[first]] = np.where(c2 - c1 >= 0.15, np.maximum((c1 + c2) / 2, c1 + 0.1), np.inf)
+        put[at] = gap[at] > limit[line[at]]
+    rows = np.repeat(np.arange(batch.num_rows), 1 + put)
+    new = np.concatenate([[False], rows[1:] == rows[:-1]]) if len(rows) else np.zeros(0, bool)
+    out = batch.take(pa.array(rows)) if put.any() else batch
+    mask = pa.array(new)
+    old = {name: out.column(out.schema.get_field_index(name)) for name in [*names, "_x1"]}
+    by = {"c": lambda: pc.if_else(mask, " ", old["c"]), "x0": lambda: pc.if_else(mask, old["x1"].cast(old["x0"].type), old["x0"]),
+          "x1": lambda: pc.if_else(mask, old["_x1"], old["x1"]), "syn": lambda: pc.if_else(mask, True, old["syn"]),
+          "ord": lambda: pc.add(pc.multiply(old["ord"], 2), mask.cast(old["ord"].type))}
+    return [by[name]() if name in by and (name == "ord" or put.any()) else old[name] for name in names]
 
 
 def drop_autospace(chars: DataFrame, wide: str = CJK, narrow: str = ALNUM) -> DataFrame:
@@ -331,8 +407,8 @@ def restore_spaces(glyphs: DataFrame, runs: DataFrame) -> DataFrame:
 
     `runs` (doc_id, page, run_no, text, x, y, h, char_x ARRAY) hold the text with blanks; `glyphs`
     (doc_id, page, glyph_no, c, x, y) the drawn characters. A blank goes behind the glyph drawn within
-    0.8 of its predecessor; a leading blank behind the nearest glyph to the left. Candidates meet in
-    cells of page and x so that a crowded page is not paired with itself.
+    0.8 of its predecessor; a leading blank behind the nearest glyph to the left. Glyphs and spots of one height
+    are sorted together by x, and one pass over a page finds the glyph before or behind every spot.
     """
     cell = 16.0
     chars = runs.select(*PAGE, "x", "y", "h", F.split("text", "").alias("_cs"), "char_x")
@@ -341,23 +417,68 @@ def restore_spaces(glyphs: DataFrame, runs: DataFrame) -> DataFrame:
         ((c == " ") & ((i == 0) | (F.get(F.col("_cs"), i - 1) != " "))).alias("ok"))), lambda s: s["ok"])
     spots = chars.filter(F.size("char_x") >= F.size("_cs")).select(*PAGE, "x", "y", "h", "char_x", F.explode(blank).alias("s"))
     lead = F.col("s.at") < 0
-    spots = spots.select(*PAGE, "y", "h", lead.alias("lead"),
-                         (F.col("x") + F.get("char_x", F.greatest(F.col("s.at"), F.lit(0)))).alias("sx"))
-    reach = F.when(F.col("lead"), F.col("sx") - 2 * F.coalesce(F.nullif(F.col("h").cast("double"), F.lit(0.0)), F.lit(10.0))).otherwise(F.col("sx") - 1)
-    until = F.when(F.col("lead"), F.col("sx")).otherwise(F.col("sx") + 1)
-    spots = spots.select("*", F.explode(F.sequence(F.floor(reach / cell), F.floor(until / cell))).alias("_cell"))
-    g = glyphs.select(*PAGE, F.col("glyph_no").alias("_g"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.floor(F.col("x") / cell).alias("_cell"))
-    pairs = spots.join(g, [*PAGE, "_cell"]).filter(
-        (F.col("gy") >= F.col("y") - 1) & (F.col("gy") <= F.col("y") + F.col("h") * 1.6 + 1)
-        & F.when(F.col("lead"), (F.col("gx") < F.col("sx") - 0.5) & (F.col("gx") > F.col("sx") - 2 * F.coalesce(F.nullif(F.col("h").cast("double"), F.lit(0.0)), F.lit(10.0))))
-        .otherwise(F.abs(F.col("gx") - F.col("sx")) < 0.8))
-    # behind a character: first glyph by x; leading blank: last glyph by x
-    rank = F.when(F.col("lead"), -F.col("gx")).otherwise(F.col("gx"))
-    tie = F.when(F.col("lead"), -F.col("_g")).otherwise(F.col("_g"))
-    chosen = (pairs.groupBy(*PAGE, "y", "h", "sx", "lead").agg(F.min_by("_g", F.struct(rank, tie)).alias("glyph_no"))
-              .select(*PAGE, "glyph_no").distinct().withColumn("_hit", F.lit(True)))
-    out = glyphs.join(chosen, [*PAGE, "glyph_no"], "left")
-    return out.withColumn("c", F.when(F.col("_hit") & ~F.col("c").endswith(" "), F.concat("c", F.lit(" "))).otherwise(F.col("c"))).drop("_hit")
+    low, high = (F.col("y") - 1).cast("double"), (F.col("y") + F.col("h") * 1.6 + 1).cast("double")
+    spots = spots.select(*PAGE, low.alias("_low"), high.alias("_high"), lead.alias("_lead"),
+                         (F.col("x") + F.get("char_x", F.greatest(F.col("s.at"), F.lit(0)))).cast("double").alias("_sx"),
+                         (2 * F.coalesce(F.nullif(F.col("h").cast("double"), F.lit(0.0)), F.lit(10.0))).alias("_reach"))
+    # the heights at which a page has glyphs: a spot takes part in every row it can reach
+    g = glyphs.withColumns({"_row": F.col("y").cast("double"), "_at": F.col("x").cast("double")})
+    heights = g.select(*PAGE, "_row").distinct().withColumn("_cell", F.floor(F.col("_row") / cell))
+    spots = (spots.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") / cell), F.floor(F.col("_high") / cell))))
+             .join(heights, [*PAGE, "_cell"]).filter(F.col("_row").between(F.col("_low"), F.col("_high"))))
+    # at one place: leading blanks stand before the glyphs, the others behind them
+    spots = spots.select(*PAGE, "_low", "_high", "_row", F.when(F.col("_lead"), F.col("_sx") - 0.5).otherwise(F.col("_sx") - 0.81).alias("_at"),
+                         F.when(F.col("_lead"), 0).otherwise(2).alias("_kind"), F.col("_sx"), F.col("_reach"))
+    both = g.withColumn("_kind", F.lit(1)).unionByName(spots, allowMissingColumns=True)
+    return per_key(both, PAGE, ["_row", "_at", "_kind", "glyph_no"], partial(_with_spaces, names=glyphs.columns), glyphs.schema)
+
+
+def _with_spaces(batch, names: list[str]):
+    """The glyphs of whole pages, with a blank behind those that a spot points at."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    first, row, kind, at = column(batch, FIRST).astype(bool), column(batch, "_row"), column(batch, "_kind"), column(batch, "_at")
+    page = np.cumsum(first)
+    opens = np.concatenate([[True], first[1:] | (row[1:] != row[:-1])]) if n else np.zeros(0, bool)
+    begin = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    of_row = np.cumsum(opens)
+    glyph = kind == 1
+    before = np.maximum.accumulate(np.where(glyph, np.arange(n), -1))  # the last glyph up to here, the first one from here on
+    behind = np.minimum.accumulate(np.where(glyph, np.arange(n), n)[::-1])[::-1]
+    spot = np.flatnonzero(~glyph)
+    lead = kind[spot] == 0
+    found = np.where(lead, before[spot], behind[spot])
+    there = np.where(lead, found >= begin[spot], found < n)
+    found = np.clip(found, 0, max(n - 1, 0))
+    sx, reach = column(batch, "_sx")[spot], column(batch, "_reach")[spot]
+    behind = np.append(behind, n)
+    while (far := np.flatnonzero(there & ~lead & (of_row[found] == of_row[spot]) & (sx - at[found] >= 0.8))).size:  # the next one, for as long as it is a hair too far
+        step = behind[found[far] + 1]
+        there[far] = step < n
+        found[far] = np.minimum(step, n - 1)
+    there &= (of_row[found] == of_row[spot]) & np.where(lead, at[found] > sx - reach, at[found] - sx < 0.8) if len(spot) else there
+    spot, found, lead, sx, reach = (x[there] for x in (spot, found, lead, sx, reach))
+    # a spot that reaches several rows takes the outermost glyph of all of them
+    side = np.where(lead, -1.0, 1.0)
+    low, high = column(batch, "_low")[spot], column(batch, "_high")[spot]
+    number = pc.fill_null(batch.column(batch.schema.get_field_index("glyph_no")), 0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((np.where(lead, -number[found], number[found]), at[found] * side, lead, reach, sx, high, low, page[spot]))
+    same = np.zeros(len(order), bool)
+    if len(order):
+        ids = np.stack([page[spot], low, high, sx, reach, lead])[:, order]
+        same[1:] = (ids[:, 1:] == ids[:, :-1]).all(0)
+    hit = np.zeros(n, bool)
+    hit[found[order][~same]] = True
+
+    rows = np.flatnonzero(glyph)
+    out = batch.take(pa.array(rows)) if len(rows) < batch.num_rows else batch
+    c = out.column(out.schema.get_field_index("c"))
+    put = pc.and_(pa.array(hit[rows]), pc.invert(pc.fill_null(pc.ends_with(c, " "), True)))
+    c = pc.if_else(put, pc.binary_join_element_wise(c, " ", ""), c)
+    return [c if name == "c" else out.column(out.schema.get_field_index(name)) for name in names]
 
 
 def match_marks_to_boxes(circles: DataFrame, marks: DataFrame) -> DataFrame:

@@ -94,6 +94,14 @@ def line_spacing(rows: DataFrame, block: list[str]) -> DataFrame:
                     F.greatest("_b", F.lit(0.0)).alias("before_space"))
 
 
+def text_extent(lines: DataFrame, width: Column, share: float = 0.75, page: list[str] | None = None) -> DataFrame:
+    """`lines` with `extent`: the width that `share` of the lines of their page do not exceed, 1 at least. It stands for the
+    width of the text column where the page does not say it; a few overlong lines do not move it."""
+    every = F.sort_array(F.collect_list(width).over(Window.partitionBy(*(page or PAGE))))
+    at = F.greatest(F.ceil(F.size(every) * share), F.lit(1)).cast("int")
+    return lines.withColumn("extent", F.greatest(F.element_at(every, at), F.lit(1)))
+
+
 def find_gutter(lines: DataFrame, work: tuple[float, float]) -> DataFrame:
     """The gap between two columns of each page, null where the page is not clearly two-column.
 

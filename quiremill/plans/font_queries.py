@@ -126,15 +126,25 @@ def _(spark, d):
 
 
 _FAMS = ["바탕", "Arial", "Courier", "맑은 고딕", "Times"]
-_USED = {"f_used": f"""SELECT doc_id, page, item_no, {sql_list(_FAMS)}[item_no % 5 + 1] AS family, ['NanumMyeongjo','LiberationSans','LiberationMono','NanumGothic','LiberationSerif'][item_no % 5 + 1] AS base,
-   ['Batang-M','Arial-LS','CourierNew-LM','MalgunGothic-G','TimesNewRoman-LR'][item_no % 5 + 1] AS office, item_no % 5 <> 2 AND (line_no % 7 = 0 OR (item_no % 4 = 1 AND doc_id % 3 = 0)) AS bold FROM f_items
-   WHERE regexp_matches(str, '^[!-~]')"""}
-
-
-@query("fonts_used", "SELECT DISTINCT doc_id, page, office || CASE WHEN bold THEN '-Bold' ELSE '' END AS font_id, bold FROM f_used", _USED)
+_CLASSES = ["koSerif", "latinSans", "mono", "koSans", "latinSerif"]
+_WORD = "translate(str, 'wzWZ', '漢글→…')"  # characters that Latin fonts lack
+_USED = {"r_cov": "SELECT * FROM (" + _values(COVERAGE) + ") t(font, a, b)",
+         "r_chain": "SELECT * FROM (" + _values([(c, i, f) for c, fs in R.CHAINS.items() for i, f in enumerate(fs)]) + ") t(cls, i, font)",
+         "r_code": "SELECT * FROM (" + _values([(f, c, f in R.WITH_BOLD) for f, c in R.CODES.items()]) + ") t(font, code, can_bold)",
+         "f_ink": rf"""SELECT doc_id, page, line_no, item_no, {sql_list(_CLASSES)}[item_no % 5 + 1] AS cls, {sql_list([R.CLASS_OFFICE[c] for c in _CLASSES])}[item_no % 5 + 1] AS office,
+            coalesce(nullif(left(regexp_replace({_WORD}, '^[\s\p{{Z}}]+', ''), 1), ''), ' ') AS c FROM f_items""",
+         "f_inkfont": """SELECT cls, c, CASE WHEN unicode(c) < 128 THEN (SELECT font FROM r_chain r WHERE r.cls = k.cls AND i = 0)
+            WHEN regexp_matches(c, '[\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]') THEN (SELECT font FROM r_chain r WHERE r.cls = k.cls AND i = CASE WHEN k.cls IN ('latinSans', 'latinSerif', 'mono') THEN 1 ELSE 0 END)
+            ELSE coalesce((SELECT min_by(r.font, r.i) FROM r_chain r JOIN r_cov v ON r.font = v.font WHERE r.cls = k.cls AND unicode(k.c) BETWEEN v.a AND v.b), (SELECT font FROM r_chain r WHERE r.cls = k.cls AND i = 0)) END AS font
+            FROM (SELECT DISTINCT cls, c FROM f_ink) k""",
+         "f_used": """SELECT doc_id, page, office || '-' || code AS base, can_bold AND (line_no % 7 = 0 OR (item_no % 4 = 1 AND doc_id % 3 = 0)) AS bold
+            FROM f_ink JOIN f_inkfont USING (cls, c) JOIN r_code USING (font)"""}
+
+
+@query("fonts_used", "SELECT DISTINCT doc_id, page, base || CASE WHEN bold THEN '-Bold' ELSE '' END AS font_id, bold FROM f_used", _USED)
 def _(spark, d):
-    t = V.items(spark, d).filter(F.col("str").rlike("^[!-~]")).select(
-        "doc_id", "page", F.element_at(F.array(*[F.lit(x) for x in _FAMS]), F.expr("item_no % 5 + 1")).alias("family"), P.first_ink(F.col("str")).alias("c"),
+    t = V.items(spark, d).select(
+        "doc_id", "page", F.element_at(F.array(*[F.lit(x) for x in _FAMS]), F.expr("item_no % 5 + 1")).alias("family"), P.first_ink(F.expr(_WORD)).alias("c"),
         F.expr("if(line_no % 7 = 0, '700', 'normal')").alias("weight"), F.expr("if(item_no % 4 = 1, '#000', 'none')").alias("stroke"), F.lit("#000").alias("fill"),
         F.expr("if(doc_id % 3 = 0, 0.5D, 2D)").alias("stroke_width"), F.lit(10.0).alias("size"))
     g = P.glyph_fallback(t.withColumn("cls", P.font_class(F.col("family"))), coverage(spark))

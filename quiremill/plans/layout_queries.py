@@ -112,7 +112,7 @@ def _(spark, d):
     return D.sections(D.assign_bands(*_gutters(spark, d)), 40.0)
 
 
-_HF = {"f_hf": """SELECT doc_id, page, line_no % 12 + 1 AS el_id, text, 72 AS x0, 72 + least(400, 6 * length(text)) AS x1, 120 + 50 * (line_no % 12) AS y0, 132 + 50 * (line_no % 12) AS y1 FROM f_lines WHERE trim(text) <> ''
+_HF = {"f_hf": """SELECT doc_id, page, line_no % 12 + 1 AS el_id, text, 72 AS x0, 72 + 400 * length(text) // extent AS x1, 120 + 50 * (line_no % 12) AS y0, 132 + 50 * (line_no % 12) AS y1 FROM f_sized WHERE trim(text) <> ''
    UNION ALL SELECT doc_id, page, 0, 'Report ' || source || ' ' || (page + 1), 72, 200, 30, 40 FROM (SELECT DISTINCT doc_id, page FROM f_lines) JOIN documents USING (doc_id)
    UNION ALL SELECT doc_id, page, 99, '- ' || (page + 1) || ' -', 290, 310, 800, 810 FROM (SELECT DISTINCT doc_id, page FROM f_lines)
    UNION ALL SELECT doc_id, page, 50, 'draft', 400, 500, 32, 42 FROM (SELECT DISTINCT doc_id, page FROM f_lines) WHERE page % 3 = 1""",
@@ -127,7 +127,7 @@ def _hf(spark, d):
     ln = V.lines(spark, d)
     pages = ln.select("doc_id", "page").distinct()
     src = table(spark, d, "documents").select("doc_id", "source")
-    body = ln.selectExpr("doc_id", "page", "line_no % 12 + 1 as el_id", "text", "72 as x0", "72 + least(400, 6 * length(text)) as x1", "120 + 50 * (line_no % 12) as y0", "132 + 50 * (line_no % 12) as y1")
+    body = D.text_extent(ln, F.length("text")).selectExpr("doc_id", "page", "line_no % 12 + 1 as el_id", "text", "72 as x0", "72 + 400 * length(text) div extent as x1", "120 + 50 * (line_no % 12) as y0", "132 + 50 * (line_no % 12) as y1")
     head = pages.join(src, "doc_id").selectExpr("doc_id", "page", "0 as el_id", "concat('Report ', source, ' ', page + 1) as text", "72 as x0", "200 as x1", "30 as y0", "40 as y1")
     foot = pages.selectExpr("doc_id", "page", "99 as el_id", "concat('- ', page + 1, ' -') as text", "290 as x0", "310 as x1", "800 as y0", "810 as y1")
     draft = pages.filter("page % 3 = 1").selectExpr("doc_id", "page", "50 as el_id", "'draft' as text", "400 as x0", "500 as x1", "32 as y0", "42 as y1")
@@ -193,7 +193,19 @@ def _regions(spark, d):
     return V.elements(spark, d).filter("el_id % 12 in (5, 9)").selectExpr("doc_id", "page", "el_id as region_no", "x0", "y0 - 20 as y0", "x1 + 10 as x1", "y1 + 20 as y1")
 
 
-@query("grow_regions")
+# The rule once more as a fold over the labels in SQL: each label in turn, three rounds, the box as four numbers.
+_GROW = {"f_words": "SELECT doc_id, page, line_no * 4294967296 + item_no AS label_no, x AS x0, y AS y0, x + width AS x1, y + 10 AS y1, str, 10 - item_no % 3 AS size FROM f_items",
+         "f_body10": "SELECT doc_id, page, list(size ORDER BY size) AS s FROM f_words WHERE trim(str) <> '' GROUP BY doc_id, page",
+         "f_labels": """SELECT w.doc_id, w.page, list([x0, y0, x1, y1]::DOUBLE[] ORDER BY label_no) AS l FROM f_words w LEFT JOIN f_body10 b ON w.doc_id = b.doc_id AND w.page = b.page
+            WHERE length(trim(str)) <= 20 AND size <= coalesce(s[len(s) // 2 + 1], 10) AND x1 > x0 AND y1 > y0 GROUP BY w.doc_id, w.page""",
+         "f_start": "SELECT doc_id, page, el_id AS region_no, [x0, y0 - 20, x1 + 10, y1 + 20]::DOUBLE[] AS r FROM f_elements WHERE el_id % 12 IN (5, 9)",
+         "f_grown": """SELECT f.doc_id, f.page, region_no, CASE WHEN r[3] - r[1] > 30 AND r[4] - r[2] > 30 THEN list_reduce(list_concat([r], coalesce(l, []), coalesce(l, []), coalesce(l, [])),
+              lambda a, b: CASE WHEN NOT (b[1] >= a[1] AND b[2] >= a[2] AND b[3] <= a[3] AND b[4] <= a[4]) AND b[1] < a[3] + 10 AND b[3] > a[1] - 10 AND b[2] < a[4] + 10 AND b[4] > a[2] - 10
+                THEN [least(a[1], b[1]), least(a[2], b[2]), greatest(a[3], b[3]), greatest(a[4], b[4])] ELSE a END) ELSE r END AS g
+            FROM f_start f LEFT JOIN f_labels t ON f.doc_id = t.doc_id AND f.page = t.page"""}
+
+
+@query("grow_regions", "SELECT doc_id, page, region_no, g[1] AS x0, g[2] AS y0, g[3] AS x1, g[4] AS y1 FROM f_grown", _GROW)
 def _(spark, d):
     w = V.items(spark, d).selectExpr("doc_id", "page", "line_no * 4294967296L + item_no as label_no", "x as x0", "y as y0", "x + width as x1", "y + 10 as y1", "str as text", "10 - item_no % 3 as size")
     return D.grow_regions(_regions(spark, d), w, w.filter("trim(text) <> ''").select("doc_id", "page", "size"))

@@ -35,15 +35,16 @@ _VIEWS = {
         FROM (SELECT doc_id, page, line_no AS line, item_no AS span, y AS y0, k AS char_no, x + 6 * k AS x0,
               substr(str || ' ', k + 1, 1) AS c
               FROM (SELECT *, unnest(range(length(str) + 1))::INT AS k FROM f_items))""",
+    "f_sized": """SELECT *, greatest(1, list_sort(list(length(text)) OVER (PARTITION BY doc_id, page))[greatest(1, ceil(0.75 * count(*) OVER (PARTITION BY doc_id, page)))::INT]) AS extent FROM f_lines""",
     "f_elements": """SELECT doc_id, page, line_no AS el_id, CASE WHEN line_no % 5 = 4 OR line_no % 2 = 0 THEN 72 ELSE 320 END AS x0,
         y AS y0, CASE WHEN line_no % 5 = 4 THEN 550 ELSE (CASE WHEN line_no % 2 = 0 THEN 72 ELSE 320 END)
-          + least(220, 6 * length(text)) END AS x1, y + 10 AS y1, text, 10 AS size FROM f_lines""",
+          + 220 * length(text) // extent END AS x1, y + 10 AS y1, text, 10 AS size FROM f_sized""",
+    "f_sheets": """SELECT *, greatest(1, list_sort(list(length(text)) OVER (PARTITION BY doc_id, line_no // 48))[greatest(1, ceil(0.75 * count(*) OVER (PARTITION BY doc_id, line_no // 48)))::INT]) AS extent FROM f_lines""",
     "f_columns": """SELECT doc_id, line_no // 48 AS page, line_no AS el_id,
         CASE WHEN line_no % 9 = 8 OR line_no % 2 = 0 THEN 72 ELSE 320 END AS x0,
         14 * ((line_no % 48) // 2) + 40 AS y0,
-        CASE WHEN line_no % 9 = 8 THEN 550 WHEN line_no % 2 = 0 THEN 72 + least(220, 120 + 6 * length(text))
-          ELSE 320 + least(220, 120 + 6 * length(text)) END AS x1,
-        14 * ((line_no % 48) // 2) + 50 AS y1, text, 10 AS size FROM f_lines""",
+        CASE WHEN line_no % 9 = 8 THEN 550 ELSE CASE WHEN line_no % 2 = 0 THEN 72 ELSE 320 END + 120 + 100 * length(text) // extent END AS x1,
+        14 * ((line_no % 48) // 2) + 50 AS y1, text, 10 AS size FROM f_sheets""",
     "f_cells": """SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey
           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_no,
         [format('{:,.2f}', l_extendedprice), CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR),

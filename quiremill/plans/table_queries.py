@@ -148,6 +148,14 @@ def _(spark, d):
     return T.sheet_markup(stitched(spark, d)).select("doc_id", "sheet_no", "sheet_name", "xml")
 
 
+@query("sheet_pieces", f"""SELECT doc_id, sheet_no::BIGINT AS sheet_no, piece_no::BIGINT AS piece_no, (coalesce(sum(length(x)) OVER (PARTITION BY doc_id, sheet_no ORDER BY piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin, x AS text
+FROM (SELECT doc_id, sheet_no, row_no AS piece_no, '<row r="' || row_no || '">' || string_agg(x, '' ORDER BY i) || '</row>' AS x FROM f_cellx GROUP BY doc_id, sheet_no, row_no
+  UNION ALL SELECT doc_id, sheet_no, 0, '{X.HEADER}<worksheet xmlns="{X.MAIN_NS}"><cols>' || cols || '</cols><sheetData>' FROM f_colx
+  UNION ALL SELECT doc_id, sheet_no, max(row_no) + 1, '</sheetData></worksheet>' FROM f_stitched GROUP BY doc_id, sheet_no)""", _MARK)
+def _(spark, d):
+    return T.sheet_pieces(stitched(spark, d)).select("doc_id", F.col("sheet_no").cast("long").alias("sheet_no"), "piece_no", "begin", "text")
+
+
 @query("workbook_export", "SELECT doc_id, 5 + count(DISTINCT sheet_no) AS n_parts FROM f_stitched GROUP BY doc_id", _STITCH)
 def _(spark, d):
     # the archive's closing record tells how many parts it holds

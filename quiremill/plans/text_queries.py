@@ -64,3 +64,12 @@ def document_text(spark, d):
     paras = B.paragraphs(B.lines(B.text_items(raw(spark, d))))
     pages = V.lines(spark, d).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
     return B.document_text(paras, pages)
+
+
+@query("document_pieces", """SELECT doc_id, page::BIGINT AS piece_no, (coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin, t AS text
+FROM (SELECT doc_id, page, CASE WHEN page = 0 THEN '' ELSE chr(10) || chr(10) END || coalesce(t, '') AS t FROM (SELECT DISTINCT doc_id, page FROM f_lines)
+  LEFT JOIN (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY para_no) AS t FROM f_para GROUP BY doc_id, page) USING (doc_id, page))""", _LINES)
+def document_pieces(spark, d):
+    paras = B.paragraphs(B.lines(B.text_items(raw(spark, d))))
+    pages = V.lines(spark, d).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+    return B.document_pieces(paras, pages)

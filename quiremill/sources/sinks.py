@@ -27,6 +27,25 @@ def write_csv_lines(lines: DataFrame, path: str, rows_per_part: int = 1_000_000,
      .write.partitionBy("bucket").mode("errorifexists").parquet(path))
 
 
+def write_pieces(pieces: DataFrame, path: str, key: list[str] | None = None) -> None:
+    """Piece tables in ranges of (key, place): a long document is written by many tasks, and the files read in order."""
+    order = [*(key or ["doc_id"]), "piece_no"]
+    pieces.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+
+
+def join_pieces(pieces: DataFrame, out, **key) -> int:
+    """Writes one document's pieces in order to `out`, an open text file, one after the other; returns the characters."""
+    mine, at = pieces, 0
+    for name, value in key.items():
+        mine = mine.filter(F.col(name).eqNullSafe(F.lit(value)))
+    for r in mine.select("piece_no", "begin", "text").orderBy("piece_no").toLocalIterator():
+        if r["begin"] != at:
+            raise ValueError(f"piece {r['piece_no']} begins at {r['begin']}, the pieces before end at {at}")
+        at += len(r["text"])
+        out.write(r["text"])
+    return at
+
+
 def write_blobs(blobs: DataFrame, path: str) -> None:
     """(doc_id, workbook) binaries kept as a parquet table for whoever serves them."""
     blobs.write.mode("errorifexists").parquet(path)

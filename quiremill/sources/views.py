@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..operators.layout import text_extent
 from .tables import table
 
 EXTS = ("mp4 wav jpg png docx hwp pptx xlsx pdf csv gif xyz mov ogg jpeg svg doc hwpx ppt ods pdf tif ico".split() + [""])
@@ -84,27 +85,27 @@ def chars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two columns. A character is as wide as lets three quarters of a page's lines fit 220 points."""
     base = F.expr("case when line_no % 5 = 4 or line_no % 2 = 0 then 72 else 320 end")
-    return lines(spark, d).select(
+    sized = text_extent(lines(spark, d).withColumn("n", F.length("text")), F.col("n"))
+    return sized.select(
         "doc_id", "page", F.col("line_no").alias("el_id"), F.lit("line").alias("kind"), base.alias("x0"),
         F.col("y").alias("y0"),
-        F.expr("case when line_no % 5 = 4 then 550 else (case when line_no % 2 = 0 then 72 else 320 end) "
-               "+ least(220, 6 * length(text)) end").alias("x1"),
+        F.expr("case when line_no % 5 = 4 then 550 else (case when line_no % 2 = 0 then 72 else 320 end) + 220 * n div extent end").alias("x1"),
         (F.col("y") + 10).alias("y1"), "text", F.lit(10).alias("size"))
 
 
 def column_elements(spark: SparkSession, d: str) -> DataFrame:
     """Elements of tall two-column sheets: 48 lines a sheet, alternately left and right, every ninth full width."""
-    src = lines(spark, d).select("doc_id", "line_no", "text", F.length("text").alias("n"))
+    src = lines(spark, d).select("doc_id", F.expr("cast(line_no div 48 as int)").alias("page"), "line_no", "text", F.length("text").alias("n"))
     left = "(line_no % 2 = 0)"
     full = "(line_no % 9 = 8)"
-    return src.select(
-        "doc_id", F.expr("cast(line_no div 48 as int)").alias("page"), F.col("line_no").alias("el_id"),
+    return text_extent(src, F.col("n")).select(
+        "doc_id", "page", F.col("line_no").alias("el_id"),
         F.lit("line").alias("kind"),
         F.expr(f"case when {full} or {left} then 72 else 320 end").alias("x0"),
         F.expr("14 * ((line_no % 48) div 2) + 40").alias("y0"),
-        F.expr(f"case when {full} then 550 when {left} then 72 + least(220, 120 + 6 * n) "
-               "else 320 + least(220, 120 + 6 * n) end").alias("x1"),
+        F.expr(f"case when {full} then 550 when {left} then 72 else 320 end + if({full}, 0, 120 + 100 * n div extent)").alias("x1"),
         F.expr("14 * ((line_no % 48) div 2) + 50").alias("y1"), "text", F.lit(10).alias("size"))
 
 
